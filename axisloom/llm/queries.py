@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axisloom.llm import bpe, decontam, jaccard, langid, pii, quality, rollup, tokenfile, topk
+from axisloom.llm import bpe, chat, decontam, jaccard, langid, pii, quality, rollup, tokenfile, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.history(_table(spark, sf_dir, "documents"))
 
 
+def op5_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = chat.conversations(_table(spark, sf_dir, "conversations"))
+    return chat.preference_pairs(told, chat.swapped_answers(told))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +74,6 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality, op3_language, op4_token_counts, op6_decontamination, op7_token_files, op8_byte_bpe, op9_jaccard_join, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality, op3_language, op4_token_counts, op5_chat_pairs, op6_decontamination, op7_token_files, op8_byte_bpe, op9_jaccard_join, op10_pii)}
 #: The others' rows can't be stated in SQL (trained models, tokenizers, components of similarity); tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_top_k": TOP_K_SQL, "op4_token_counts": rollup.HISTORY_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_top_k": TOP_K_SQL, "op4_token_counts": rollup.HISTORY_SQL, "op5_chat_pairs": chat.PAIRS_SQL}
