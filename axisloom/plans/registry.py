@@ -2,19 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from axisloom.plans import arrays, fields, loops, spread  # noqa: F401
+from axisloom.plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def reduce_sum_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy("l_returnflag").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
-
-
-QUERIES["reduce_sum_by_key"] = reduce_sum_by_key
-ORACLE_SQL["reduce_sum_by_key"] = "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY l_returnflag"
+__all__ = ["ORACLE_SQL", "QUERIES"]
