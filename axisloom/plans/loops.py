@@ -19,9 +19,9 @@ def reduce_sum_by_key(spark, d):
     return reduce.reduce_by(table(spark, d, "lineitem"), ["l_returnflag"], revenue=("sum", _amount())).withColumn("revenue", F.round("revenue", 2))
 
 
-@query(f"SELECT {LINE}, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS v FROM lineitem")
+@query(f"SELECT {LINE}, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS v FROM lineitem")
 def for_all_1d(spark, d):
-    return table(spark, d, "lineitem").select(*LINE.split(", "), F.round(_amount() * (1 + F.col("l_tax")), 4).alias("v"))
+    return table(spark, d, "lineitem").select(*LINE.split(", "), F.round(_amount() * (1 + F.col("l_tax")), 6).alias("v"))
 
 
 @query("SELECT a.range AS i, b.range AS j, a.range * 40 + b.range AS v FROM range(60) a, range(40) b")

@@ -248,7 +248,7 @@ def ann_layer_repeated_bias(spark, d):
 
 
 def _matrix(r: int, c: int):
-    return F.col("s_suppkey") % (3 + r) + F.lit(1.0 + c) * (2 if r == c else 1) + (F.col("s_suppkey") % 7) * (r == c)
+    return F.col("s_suppkey") % (3 + r) + F.lit(1.0 + c) * (2 if r == c else 1) + (F.col("s_suppkey") % 7) * int(r == c)
 
 
 _A = [[f"(s_suppkey % {3 + r} + {1.0 + c} * {2 if r == c else 1} + (s_suppkey % 7) * {1 if r == c else 0})" for c in range(3)] for r in range(3)]
