@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from axisloom.operators import dist, linalg, network, sparse, stats, vectors
+from axisloom.operators import dist, linalg, network, reduce, sparse, stats, vectors
 from axisloom.plans.base import query, table
 
 PARTS = 7
@@ -82,9 +82,9 @@ def comm_unmatched(spark, d):
 
 @query(f"WITH {_MAP} SELECT round(sum(v), 2) AS s, max(v) AS most, min(v) AS least FROM p WHERE lid < 50")
 def all_reduce(spark, d):
-    m, own, v = _mapped(spark, d), F.col("lid") < 50, F.col("v")
-    s = dist.all_reduce(m, "sum", v, own, name="s").withColumn("s", F.round("s", 2))
-    return s.crossJoin(dist.all_reduce(m, "max", v, own, name="most")).crossJoin(dist.all_reduce(m, "min", v, own, name="least"))  # one row each
+    v = F.col("v")
+    found = reduce.reduce_all(_mapped(spark, d).where("lid < 50"), s=("sum", v), most=("max", v), least=("min", v))
+    return found.withColumn("s", F.round("s", 2))
 
 
 @query(f"WITH {_MAP} SELECT round(product(1 + v / 1000000), 6) AS v FROM p WHERE lid < 20")
