@@ -192,8 +192,8 @@ def power_iteration(spark, d):
     def step(x):
         return sparse.spmv(many, x).select(F.col("i").alias("j"), F.col("y").alias("x"))
 
-    for _ in range(3):  # ten products can't leave the range of doubles; then the length is set to 1
-        x, _ = iterate.iterate(x, step, most=10, every=5)
+    for _ in range(6):  # the squares of five products can't leave the range of doubles; then the length is set to 1
+        x, _ = iterate.iterate(x, step, most=5, every=5)
         norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
         x = x.withColumn("x", F.col("x") / norm)
     y = sparse.spmv(a, x).withColumnRenamed("i", "j")
