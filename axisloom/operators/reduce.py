@@ -37,3 +37,14 @@ def reduce_all(df: DataFrame, kind: str = "double", **parts: tuple[str, Column])
 
 def reduce_by(df: DataFrame, keys: list[str], kind: str = "double", **parts: tuple[str, Column]) -> DataFrame:
     return df.groupBy(*keys).agg(*(combine(op, e, kind).alias(name) for name, (op, e) in parts.items()))
+
+
+def product_log(df: DataFrame, value: Column) -> DataFrame:
+    """``sign`` and ``log`` of a product beyond the range of doubles, which is sign * exp(log).
+
+    No rows give sign 1 and log 0, a zero gives sign 0 and log -inf. Nulls are passed over.
+    """
+    x = value.cast("double")
+    log = F.when(x == 0, F.lit(float("-inf"))).otherwise(F.ln(F.abs(x)))
+    sign = F.when(F.count_if(x == 0) > 0, 0).otherwise(1 - 2 * (F.count_if(x < 0) % 2)).cast("int")
+    return df.agg(sign.alias("sign"), F.coalesce(F.sum(log), F.lit(0.0)).alias("log"))
