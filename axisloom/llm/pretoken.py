@@ -149,11 +149,15 @@ class WordEncoder:
         self.table = WordTable()
         self.ids, self.off, self.fresh = np.zeros(0, np.int32), np.zeros(1, np.int64), []
 
+    def starts(self, part: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where the words of the texts in ``part`` begin."""
+        return token_starts(part, off[:-1])
+
     def texts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers, word offsets by text) of neighbouring texts in ``data``."""
         lo, hi = int(off[0]), int(off[-1])
         part = data[lo:hi]
-        begin = token_starts(part, off[:-1] - lo)
+        begin = self.starts(part, off - lo)
         if not len(begin):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         end = np.append(begin[1:], len(part))

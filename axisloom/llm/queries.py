@@ -50,7 +50,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.token_file_report(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.token_file_report(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, added_tokens=True)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,10 @@ Parquet table through Spark, so any store that Spark writes will do, and a lost
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,21 +122,42 @@ def build_shard(keys: list[int | None], documents: list[np.ndarray], wide: bool)
     return Shard(len(keys) - len(known), EliasFano.of(known), EliasFano.of(ends), np.concatenate(documents).astype(kind))
 
 
-_encoders: dict[str, tuple[pretoken.WordEncoder, int]] = {}
+_encoders: dict[tuple[str, bool], tuple[pretoken.WordEncoder, int]] = {}
 
 
-def library_encoder(path: str) -> tuple[pretoken.WordEncoder, int]:
+class AddedTokenEncoder(pretoken.WordEncoder):
+    """Texts are split at added tokens first, as the library does; each of these is a word, so one id."""
+
+    def __init__(self, encode_new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], added: list[bytes]):
+        self.added = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True))))
+        super().__init__(encode_new)
+
+    def starts(self, part: np.ndarray, off: np.ndarray) -> np.ndarray:
+        raw = part.tobytes()
+        if not self.added.search(raw):
+            return super().starts(part, off)
+        found = [m.span() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True) for m in self.added.finditer(raw, a, b)]
+        at, end = np.array(found, np.int64).reshape(-1, 2).T
+        begin = pretoken.token_starts(part, np.concatenate([off[:-1], at, end]))
+        if not len(at):
+            return begin
+        last = np.searchsorted(at, begin, "right") - 1
+        return begin[(last < 0) | (begin == at[last]) | (begin >= end[last])]
+
+
+def library_encoder(path: str, added_tokens: bool = False) -> tuple[pretoken.WordEncoder, int]:
     """(encoder, vocabulary size): the tokenizers library gets each different word of the texts once.
 
     Byte-level BPE never merges across the words of its own pattern, so a text's ids are its words' ids.
-    Special tokens' strings in a text are ordinary text.
+    Special tokens' strings in a text are ordinary text, unless ``added_tokens`` asks for the library's default,
+    by which they are their own ids.
     """
-    if path not in _encoders:
+    if (path, added_tokens) not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
+        made.encode_special_tokens = not added_tokens
 
         def encode_new(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             ids, count = [], []
@@ -146,18 +168,24 @@ def library_encoder(path: str) -> tuple[pretoken.WordEncoder, int]:
                     count.append(len(x))
             return np.array(ids, np.int32), np.array(count, np.int64)
 
-        _encoders[path] = pretoken.WordEncoder(encode_new), made.get_vocab_size()
-    return _encoders[path]
+        held = list(made.get_added_tokens_decoder().values()) if added_tokens else []
+        if any(t.single_word or t.lstrip or t.rstrip for t in held):
+            raise ValueError("added tokens that look at what is around them aren't split here")
+        added = [t.content.encode() for t in held]
+        of = AddedTokenEncoder(encode_new, added) if added else pretoken.WordEncoder(encode_new)
+        _encoders[path, added_tokens] = of, made.get_vocab_size()
+    return _encoders[path, added_tokens]
 
 
 SHARDS = "part int, seq int, before long, n_docs long, n_ids long, shard binary"
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", shard_ids: int = 2_000_000) -> None:
+def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", shard_ids: int = 2_000_000, added_tokens: bool = False) -> None:
     """Write every document's ids and ``end_id``, in ascending order of key, as shards at ``path``.
 
     Each task holds one range of keys and starts a new shard after ``shard_ids`` ids. ``before`` is the number
     of ids in the task's earlier shards. Null texts are empty; null keys come first; repeated keys stay apart.
+    ``added_tokens`` as in :func:`library_encoder`.
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
@@ -165,7 +193,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(n, "key").sortWithinPartitions("key")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, size = library_encoder(tokenizer_path)
+        of, size = library_encoder(tokenizer_path, added_tokens)
         wide = max(size, end_id + 1) > 1 << 16
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         keys, held, n_ids = [], [], 0
