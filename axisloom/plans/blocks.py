@@ -48,8 +48,9 @@ def rk_coeffs(spark, d):
 
 @query()
 def rbf_surface(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 60")
-    return kernels.radial_basis(p.select(F.lit(0).cast("long").alias("cloud"), (F.col("p_size") / 10.0).alias("x"), (F.col("p_retailprice") / 500.0).alias("y"), (F.col("p_partkey") % 7 / 2.0).alias("z"), F.sin("p_partkey").alias("v")))
+    """One surface for each 60 parts that follow one another; together they cover all parts."""
+    p = table(spark, d, "part")
+    return kernels.radial_basis(p.select(F.expr("p_partkey div 60").alias("cloud"), (F.col("p_size") / 10.0).alias("x"), (F.col("p_retailprice") / 500.0).alias("y"), (F.col("p_partkey") % 7 / 2.0).alias("z"), F.sin("p_partkey").alias("v")))
 
 
 @query()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from axisloom.operators import dist, mesh, reduce
+from axisloom.operators import arrays, dist, loops, mesh, reduce
 from axisloom.plans.base import query, table
+from axisloom.plans.spread import _MAP, PARTS, _mapped
 
 
 def _lines(spark, d, *more):
@@ -49,3 +52,51 @@ def reduce_sum_1d_whole(spark, d):
 def reduce_max_min_1d_whole(spark, d):
     x = F.col("l_extendedprice")
     return reduce.reduce_all(table(spark, d, "lineitem"), most=("max", x), least=("min", x))
+
+
+# ---- views of the whole part table: inner extents are those of the partial forms, or what divides the size
+
+
+def _parts(spark, d):
+    df = table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("v"))
+    n = df.count()
+    return arrays.DenseArray(df, (n,)), n
+
+
+@query("WITH a AS (SELECT count(*) AS n, gcd(count(*), 10) AS c FROM part), e AS (SELECT c, gcd(n // c, 5) AS b FROM a) SELECT p_partkey // (b * c) AS i, (p_partkey // c) % b AS j, p_partkey % c AS k, p_retailprice AS v FROM part, e")
+def view_reshape_whole(spark, d):
+    a, n = _parts(spark, d)
+    k = math.gcd(n, 10)
+    j = math.gcd(n // k, 5)
+    return a.reshape((n // (j * k), j, k)).df
+
+
+@query("WITH e AS (SELECT gcd(count(*) - 20, 6) AS b FROM part) SELECT (p_partkey - 20) // b AS i, (p_partkey - 20) % b AS j, p_retailprice AS v FROM part, e WHERE p_partkey >= 20")
+def view_offset_whole(spark, d):
+    """All elements from the offset on."""
+    a, n = _parts(spark, d)
+    j = math.gcd(n - 20, 6)
+    return a.view(20, ((n - 20) // j, j)).df
+
+
+# ---- every local id of every part, and one that each part lacks
+
+
+@query(f"WITH {_MAP}, l AS (SELECT a.range::INTEGER AS part, unnest(range((q + CASE WHEN a.range < r THEN 1 ELSE 0 END + 1)::BIGINT)) AS lid FROM range({PARTS}) a, n) SELECT l.part, l.lid, p.gid FROM l LEFT JOIN p ON p.part = l.part AND p.lid = l.lid")
+def local_to_global_whole(spark, d):
+    mapped = _mapped(spark, d)
+    size, more = divmod(table(spark, d, "customer").count(), PARTS)
+    parts = spark.range(PARTS).select(F.col("id").cast("int").alias("part"))
+    lids = loops.nested(parts, "lid", 0, F.lit(size + 1) + F.when(F.col("part") < more, 1).otherwise(0))
+    return dist.to_global(lids, mapped, "gid").select("part", "lid", "gid")
+
+
+@query("SELECT round(sum(c_acctbal), 2) AS s, max(c_acctbal) AS most, min(c_acctbal) AS least FROM customer")
+def all_reduce_whole(spark, d):
+    v = F.col("v")
+    return reduce.reduce_all(_mapped(spark, d), s=("sum", v), most=("max", v), least=("min", v)).withColumn("s", F.round("s", 2))
+
+
+@query("SELECT 1::INTEGER AS sign, round(sum(ln(1 + c_acctbal / 1000000)), 6) AS log FROM customer")
+def all_reduce_product_whole(spark, d):
+    return _product(_mapped(spark, d), 1 + F.col("v") / 1e6)

@@ -47,3 +47,33 @@ def test_product_beyond_doubles(spark):
 
 def test_whole_forms_filter_no_ids():
     assert not [n for n, q in ORACLE_SQL.items() if n.endswith("_whole") and "WHERE l_orderkey" in q]
+
+
+@pytest.fixture(scope="module")
+def dense(spark, tmp_path_factory):
+    """Sizes that no extent of the partial forms divides."""
+    d = str(tmp_path_factory.mktemp("dense"))
+    spark.createDataFrame([(i, i % 50, 900.0 + i) for i in range(455)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{d}/part.parquet")
+    spark.createDataFrame([(i, i * 1.25 - 300) for i in range(500)], "c_custkey long, c_acctbal double").write.parquet(f"{d}/customer.parquet")
+    return d
+
+
+def test_views_of_all_parts(spark, dense):
+    assert rows(QUERIES["view_reshape_whole"](spark, dense).select("i", "j", "k", "v")) == [(i, 0, k, 900.0 + i * 5 + k) for i in range(91) for k in range(5)]
+    got = rows(QUERIES["view_offset_whole"](spark, dense).select("i", "j", "v"))
+    assert got == [(i, j, 920.0 + i * 3 + j) for i in range(145) for j in range(3)]
+
+
+def test_all_owned_rows(spark, dense):
+    acct = [i * 1.25 - 300 for i in range(500)]
+    sizes = [72] * 3 + [71] * 4
+    want = [(p, lid, sum(sizes[:p]) + lid if lid < n else None) for p, n in enumerate(sizes) for lid in range(n + 1)]
+    assert [tuple(x) for x in QUERIES["local_to_global_whole"](spark, dense).orderBy("part", "lid").collect()] == want
+    assert rows(QUERIES["all_reduce_whole"](spark, dense)) == [(round(sum(acct), 2), max(acct), min(acct))]
+    [(sign, log)] = rows(QUERIES["all_reduce_product_whole"](spark, dense))
+    assert sign == 1 and abs(log - sum(math.log(1 + x / 1e6) for x in acct)) < 1e-6
+
+
+def test_surfaces_cover_all_parts(spark, dense):
+    got = QUERIES["rbf_surface"](spark, dense)
+    assert rows(got.where("k >= 0").groupBy("cloud").count()) == [(c, 60 if c < 7 else 35) for c in range(8)]
