@@ -6,8 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from axisloom.operators import arrays, dist, loops, mesh, reduce
+from axisloom.operators import arrays, dist, loops, mesh, points, reduce, sparse
+from axisloom.plans.arrays import _COO, _coo
 from axisloom.plans.base import query, table
+from axisloom.plans.fields import _NEAR, _near
 from axisloom.plans.spread import _MAP, PARTS, _mapped
 
 
@@ -100,3 +102,48 @@ def all_reduce_whole(spark, d):
 @query("SELECT 1::INTEGER AS sign, round(sum(ln(1 + c_acctbal / 1000000)), 6) AS log FROM customer")
 def all_reduce_product_whole(spark, d):
     return _product(_mapped(spark, d), 1 + F.col("v") / 1e6)
+
+
+# ---- exchange, probes and closure without filters on ids
+
+
+def _reverse(spark, d, mode):
+    target = table(spark, d, "supplier").select(F.col("s_suppkey").alias("gid"), F.col("s_acctbal").alias("v"))
+    got = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") % 150).alias("gid"), F.col("c_acctbal").alias("v"))
+    return dist.reverse(target, got, "gid", mode).withColumn("v", F.round("v", 2))
+
+
+_GOT = "SELECT c_custkey % 150 AS gid, sum(c_acctbal) AS s, arg_max(c_acctbal, c_custkey) AS last, max(abs(c_acctbal)) AS a FROM customer GROUP BY 1"
+for _mode, _sql in {
+    "sum": f"SELECT s_suppkey AS gid, round(s_acctbal + coalesce(s, 0), 2) AS v FROM supplier LEFT JOIN ({_GOT}) g ON gid = s_suppkey",
+    "insert": f"SELECT coalesce(s_suppkey, gid) AS gid, round(coalesce(last, s_acctbal), 2) AS v FROM supplier FULL OUTER JOIN ({_GOT}) g ON gid = s_suppkey",
+    "replace": f"SELECT s_suppkey AS gid, round(coalesce(last, s_acctbal), 2) AS v FROM supplier LEFT JOIN ({_GOT}) g ON gid = s_suppkey",
+    "absmax": f"SELECT s_suppkey AS gid, round(greatest(abs(s_acctbal), coalesce(a, 0)), 2) AS v FROM supplier LEFT JOIN ({_GOT}) g ON gid = s_suppkey",
+    "zero": f"SELECT s_suppkey AS gid, round(CASE WHEN last IS NULL THEN s_acctbal ELSE 0 END, 2) AS v FROM supplier LEFT JOIN ({_GOT}) g ON gid = s_suppkey",
+}.items():
+    query(_sql, f"reverse_comm_{_mode}_whole")(lambda spark, d, m=_mode: _reverse(spark, d, m))
+
+
+# every stored cell, and for each the cell of the same part in a row that no supplier has
+_CELLS = f"c AS ({_COO}), q AS (SELECT i, j FROM c UNION ALL SELECT -1 - i, j FROM c)"
+
+
+def _cells(spark, d):
+    at = _coo(spark, d).select("i", "j")
+    return at.unionAll(at.select((-1 - F.col("i")).alias("i"), "j"))
+
+
+@query(f"WITH {_CELLS} SELECT q.i, q.j, coalesce(c.v, 0) AS v FROM q LEFT JOIN c ON c.i = q.i AND c.j = q.j")
+def csr_lookup_whole(spark, d):
+    return sparse.lookup(_coo(spark, d), _cells(spark, d))
+
+
+@query(f"WITH {_CELLS}, f AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS flat FROM c) SELECT q.i, q.j, coalesce(f.flat, -1) AS flat FROM q LEFT JOIN f ON f.i = q.i AND f.j = q.j")
+def csr_flat_index_whole(spark, d):
+    return sparse.flat_lookup(_coo(spark, d), _cells(spark, d), table(spark, d, "supplier").count())
+
+
+@query(_NEAR)
+def symmetric_neighbors_whole(spark, d):
+    """The closure of each pair given once, from its lower id, is every pair both ways."""
+    return points.symmetric(_near(spark, d).where("a < b"))

@@ -77,3 +77,27 @@ def test_all_owned_rows(spark, dense):
 def test_surfaces_cover_all_parts(spark, dense):
     got = QUERIES["rbf_surface"](spark, dense)
     assert rows(got.where("k >= 0").groupBy("cloud").count()) == [(c, 60 if c < 7 else 35) for c in range(8)]
+
+
+def test_exchange_probes_and_closure(spark, tmp_path):
+    d = str(tmp_path)
+    made = [(o, o % 5, o * 3 % 17, float(o % 4 + 1)) for o in range(60)]
+    spark.createDataFrame(made, "l_orderkey long, l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(i, float(i)) for i in range(5)], "s_suppkey long, s_acctbal double").write.parquet(f"{d}/supplier.parquet")
+    spark.createDataFrame([(i, i - 200.0) for i in range(401)], "c_custkey long, c_acctbal double").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(i, i % 3, 900.0 + i) for i in range(40)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{d}/part.parquet")
+    got = {g: [i - 200.0 for i in range(401) if i % 150 == g] for g in range(150)}
+    own = range(5)
+    assert rows(QUERIES["reverse_comm_sum_whole"](spark, d)) == [(g, g + sum(got[g])) for g in own]
+    assert rows(QUERIES["reverse_comm_insert_whole"](spark, d)) == [(g, got[g][-1]) for g in range(150)]
+    assert rows(QUERIES["reverse_comm_replace_whole"](spark, d)) == [(g, got[g][-1]) for g in own]
+    assert rows(QUERIES["reverse_comm_absmax_whole"](spark, d)) == [(g, max(g, *map(abs, got[g]))) for g in own]
+    assert rows(QUERIES["reverse_comm_zero_whole"](spark, d)) == [(g, 0.0) for g in own]
+    cells = {}
+    for _, i, j, v in made:
+        cells[i, j] = cells.get((i, j), 0) + v
+    missing = [(-1 - i, j) for i, j in cells]
+    assert rows(QUERIES["csr_lookup_whole"](spark, d).select("i", "j", "v")) == sorted([(*c, v) for c, v in cells.items()] + [(*c, 0.0) for c in missing])
+    assert rows(QUERIES["csr_flat_index_whole"](spark, d).select("i", "j", "flat")) == sorted([(*c, n) for n, c in enumerate(sorted(cells))] + [(*c, -1) for c in missing])
+    want = [(a, b) for a in range(40) for b in range(40) if a != b and abs(a % 3 - b % 3) <= 1 and abs(a - b) <= 5]
+    assert rows(QUERIES["symmetric_neighbors_whole"](spark, d)) == want
