@@ -129,20 +129,20 @@ def fit(texts: list[str], langs: list[str], rounds: int = 6, rate: float = 0.6,
     return model
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 400, longest: int = 16_384, languages: int = 100) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 400, longest: int = 16_384) -> Model:
     """Learn from rows with a language whose crc32(key as text) mod 4 isn't 2.
 
-    A bounded sample is fitted: of each of the ``languages`` most frequent languages the ``sample`` rows that
-    come first by a hash of the key, texts of at most ``longest`` characters. Rows without text or language
-    are left out.
+    Every language of these rows is learnt, from a bounded sample of each: the ``sample`` rows that come first by
+    a hash of the key, of longer texts the first ``longest`` characters. Rows without text or language are left out.
     """
-    known = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.length(text).alias("size")).where("k is not null and lang is not null and size between 1 and " + str(longest))
+    known = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.length(text).alias("size")).where("k is not null and lang is not null and size > 0")
     known = known.where(F.crc32(F.col("k").cast("string")) % 4 != 2)
-    held = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k"))
-    picked = known.where(F.col("lang").isin(held)).withColumn("no", rank).where(F.col("no") <= sample).select("k", "lang")
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang")).where(F.length("t").between(1, longest)).join(F.broadcast(picked.distinct()), ["k", "lang"])
-    rows = sorted((r.lang, r.k, r.t) for r in rows.limit(2 * sample * languages).collect())
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
+    picked = known.withColumn("no", F.row_number().over(first)).where(F.col("no") <= sample).select("k", "lang").distinct()
+    rows = docs.select(F.col(key).alias("k"), F.substring(text, 1, longest).alias("t"), F.col(lang).alias("lang")).where("t <> ''").join(F.broadcast(picked), ["k", "lang"])
+    # a key may have many rows
+    rows = rows.withColumn("no", F.row_number().over(first.orderBy(F.xxhash64("k"), "k", "t"))).where(F.col("no") <= sample)
+    rows = sorted((r.lang, r.k, r.t) for r in rows.collect())
     return fit([t for *_, t in rows], [x for x, *_ in rows])
 
 
