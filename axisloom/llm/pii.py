@@ -324,7 +324,7 @@ def find_spans(texts: list[str], model: Field) -> list[tuple[list[tuple[int, int
                 a += 1
             while b > a and texts[i][b - 1] in ".,;:!?\"'>]}":
                 b -= 1
-            if a < b and b - a <= 120 and _passes(kind, texts[i][a:b]):
+            if a < b and _passes(kind, texts[i][a:b]):
                 added[i].append((a, kind, b))
     return [(x, sorted(s for s in y if not any(s[0] < b and a < s[2] for a, _, b in x))) for x, y in zip(base, added, strict=True)]
 
