@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisloom.llm import common
+from axisloom.llm import bpe, common
 
 KEYS = ("source", "lang", "tokenizer")
 CHANGES = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long, old_n_tokens long"
@@ -88,13 +88,27 @@ class Rollup:
 
 #: Tokenizer versions whose counts SQL can state as well: blank-separated words, and bytes.
 WORDS_V1, BYTES_V1 = "words-v1", "bytes-v1"
+#: The version counted by the byte-level BPE encoder.
+BPE_50K = "byte_bpe_50k"
 
 
 def counted(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """``doc_id``, ``source``, ``lang``, ``tokenizer``, ``n_tokens`` of documents; null texts have no tokens."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    n = F.octet_length(t) if tokenizer == BYTES_V1 else F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), n.cast("long").alias("n_tokens"))
+    """``doc_id``, ``source``, ``lang``, ``tokenizer``, ``n_tokens`` of documents; null texts have no tokens.
+
+    A tokenizer that isn't known raises an error.
+    """
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.coalesce(F.col(text), F.lit("")).alias("t"))
+    if tokenizer == WORDS_V1:
+        n = F.regexp_count("t", F.lit("[^\\x20\\x09-\\x0D]+"))
+    elif tokenizer == BYTES_V1:
+        n = F.octet_length("t")
+    elif tokenizer == BPE_50K:
+        import public_tokenizers
+
+        kept, n = bpe.encode_ids(kept, public_tokenizers.path("byte_bpe_50k.tiktoken"), "t", "ids"), F.size("ids")
+    else:
+        raise ValueError(f"no tokenizer version {tokenizer!r}")
+    return kept.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), n.cast("long").alias("n_tokens"))
 
 
 def history(docs: DataFrame, path: str | None = None) -> DataFrame:
