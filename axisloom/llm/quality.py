@@ -103,9 +103,25 @@ class Network:
             n += len(chunk)
         return self._probability(np.max(tops, axis=0)[None], (np.sum(sums, axis=0) / n)[None])
 
-    def gradients(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        blocks, first, windows = layout(texts)
-        z, begin, count, text, heads, n, chunk = self.pooled(blocks, first, windows)
+    def peaks(self, text: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of every chunk of one text and every filter the maximum, and the bytes under the window that gave it."""
+        step = piece - piece % (CHUNK * STEP)
+        best, seen = [], []
+        for at in range(0, max(1, len(text)), step):
+            blocks, first, windows = layout([text[at : at + step + (PARTS - 1) * STEP]])
+            windows = np.minimum(windows, max(1, -(-min(len(text) - at, step) // STEP)))
+            z, begin, count, *_, chunk = self.pooled(blocks, first, windows)
+            where = np.stack([a + z[a : a + c].argmax(axis=0) for a, c in zip(begin.tolist(), count.tolist(), strict=True)])
+            best.append(chunk)
+            seen.append(blocks[where[..., None] + np.arange(PARTS)].reshape(*where.shape, WIDTH))
+        return np.concatenate(best), np.concatenate(seen)
+
+    def gradients(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, piece: int = 1 << 17) -> list[np.ndarray]:
+        """Gradients of the mean loss over whole texts; a text is taken in pieces of about ``piece`` bytes."""
+        made = [self.peaks(t, piece) for t in texts]
+        n = np.array([len(c) for c, _ in made])
+        text, heads = np.repeat(np.arange(len(texts)), n), np.cumsum(n) - n
+        chunk, under = np.concatenate([c for c, _ in made]), np.concatenate([s for _, s in made])
         top = np.maximum.reduceat(chunk, heads, axis=0)
         mean = np.add.reduceat(chunk, heads, axis=0) / n[:, None]
         g = ((self._probability(top, mean) - y) * weight / len(texts)).astype(np.float32)
@@ -114,30 +130,27 @@ class Network:
         d_chunk = d_mean[text]
         best = chunk == top[text]
         d_chunk += np.where(best, d_top[text] / np.maximum(1, np.add.reduceat(best.astype(np.int64), heads, axis=0))[text], 0)
-        # the window of each chunk and filter that gave its maximum
-        at = np.empty(chunk.shape, np.int64)
-        for k, (a, c) in enumerate(zip(begin.tolist(), count.tolist(), strict=True)):
-            at[k] = a + z[a : a + c].argmax(axis=0)
-        flat, d = at.ravel(), d_chunk.ravel().astype(np.float32)
-        on = np.flatnonzero(d)
-        f = np.tile(np.arange(FILTERS), len(chunk))[on]
-        seen = blocks[flat[on][:, None] + np.arange(PARTS)].reshape(len(on), WIDTH)
+        d_chunk = d_chunk.astype(np.float32)
         g_filters, g_embed = np.zeros_like(self.filters), np.zeros_like(self.embed)
-        for k in range(FILTERS):
-            mine = f == k
-            if not mine.any():
-                continue
-            x = self.embed[seen[mine]].reshape(-1, WIDTH * EMBED)
-            g_filters[:, k] = d[on][mine] @ x
-        back = d[on][:, None] * self.filters.T[f]
-        for e in range(EMBED):
-            g_embed[:, e] = np.bincount(seen.ravel(), back.reshape(len(on), WIDTH, EMBED)[:, :, e].ravel(), 256)
-        return [g_embed, g_filters, np.bincount(f, d[on], FILTERS).astype(np.float32), g_top, g_mean, np.array([g.sum()], np.float32)]
+        for k in range(FILTERS):  # one filter at a time bounds what is held
+            on = np.flatnonzero(d_chunk[:, k])
+            for at in range(0, len(on), 16_384):
+                rows = on[at : at + 16_384]
+                d, seen = d_chunk[rows, k], under[rows, k]
+                g_filters[:, k] += d @ self.embed[seen].reshape(-1, WIDTH * EMBED)
+                place = np.bincount((seen + 256 * np.arange(WIDTH)).ravel(), np.repeat(d, WIDTH), 256 * WIDTH).reshape(WIDTH, 256)
+                g_embed += place.T.astype(np.float32) @ self.filters[:, k].reshape(WIDTH, EMBED)
+        return [g_embed, g_filters, d_chunk.sum(axis=0), g_top, g_mean, np.array([g.sum()], np.float32)]
 
 
 def fit(texts: list[np.ndarray], y: np.ndarray, share_of_ones: float, rounds: int = 6, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Network:
     """Both classes weigh alike in training; the share of ones among all labels comes back as a prior."""
     net, r = Network(), np.random.default_rng(seed)
+    share = min(max(share_of_ones, 0.01), 0.99)
+    prior = np.log(share / (1 - share))
+    if not len(texts):
+        net.prior[0] = prior
+        return net
     y = y.astype(np.float64)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     m1, m2, t = [np.zeros_like(w) for w in net.weights()], [np.zeros_like(w) for w in net.weights()], 0
@@ -150,32 +163,37 @@ def fit(texts: list[np.ndarray], y: np.ndarray, share_of_ones: float, rounds: in
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
                 w -= rate * 0.6**k * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-    share = min(max(share_of_ones, 0.01), 0.99)
-    net.prior[0] = np.log(share / (1 - share))
+    net.prior[0] = prior
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 1200, longest: int = 16_384) -> Network:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 1200) -> Network:
     """Learn from labelled rows whose crc32(key as text) mod 5 isn't 0.
 
-    A bounded sample is fitted: of each class the ``sample`` rows that come first by a hash of the key, texts of
-    at most ``longest`` characters. The share of ones is counted over all such labels. Labels that aren't 0
-    or 1 and rows without text are left out. Without rows of both classes the network stays untrained, with
-    the prior of what there is.
+    A bounded sample is fitted: of the labelled rows of each class that have a text, empty or of any length, the
+    ``sample`` rows that come first by a hash of the key (of equal keys, by text). They are learnt whole. The share
+    of ones is counted over all labels of such keys. Labels that aren't 0 or 1, null keys and null texts are left
+    out. A key labelled both ways stands in both classes; labels and rows that repeat count once in the sample.
+    Without rows of both classes the network stays untrained, with the prior of what there is.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").where(F.crc32(F.col("k").cast("string")) % 5 != 0)
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    picked = [known.where(F.col("y") == c).orderBy(F.xxhash64("k"), "k").limit(2 * sample) for c in (0, 1)]
-    picked = picked[0].unionAll(picked[1])  # at most 4 * sample rows of a key and a label
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") <= longest).join(F.broadcast(picked), "k")
-    rows = rows.groupBy("y").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("k").alias("h"), "k", "t"))), 1, sample).alias("rows"))
+    if len(counts) < 2:
+        return fit([], np.zeros(0), share)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+    # keys of rows that have a label and a text, before any of the texts are fetched
+    held = known.distinct().join(rows.select("k"), "k", "left_semi")
+    order = [F.xxhash64("k"), F.col("k")]
+    picked = held.where("y = 0").orderBy(*order).limit(sample).unionAll(held.where("y = 1").orderBy(*order).limit(sample))
+    found = rows.join(F.broadcast(picked), "k").distinct()  # at most 2 * sample keys
     texts, y = [], []
-    for r in rows.orderBy("y").collect():
-        texts += [np.frombuffer(x.t.encode(), np.uint8) for x in r.rows]
-        y += [r.y] * len(r.rows)
+    for c in (0, 1):
+        for r in found.where(F.col("y") == c).orderBy(*order, "t").limit(sample).toLocalIterator():
+            texts.append(np.frombuffer(r.t.encode(), np.uint8))
+            y.append(c)
     if len(set(y)) < 2:
-        return fit([], np.zeros(0), share, rounds=0)
+        return fit([], np.zeros(0), share)
     return fit(texts, np.array(y), share)
 
 
