@@ -224,15 +224,15 @@ def encode_digests(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", t
 def encode_ids(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``docs`` with the array of token ids of each text in column ``ids``, replaced if it is there."""
     common.bounded_batches(docs.sparkSession)
-    rest = docs.drop(ids).withColumn("_spelled", F.col(text))
+    rest = docs.select(F.col(text).alias("text"), common.carried(docs, [ids]))
     schema = docs.drop(ids).withColumn(ids, F.lit(None).cast("array<int>")).schema
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary(vocabulary_path)
         of = encoder(vocabulary_path)
-        for batch, groups in encoded(batches, "_spelled", of, 8 << 20):
+        for batch, groups in encoded(batches, "text", of, 8 << 20):
             spelled = [x for numbers, word_off in groups for x in documents(of, numbers, word_off)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spelled, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
+            yield pa.RecordBatch.from_arrays([*common.uncarried(batch), pa.array(spelled, pa.list_(pa.int32()))], names=schema.names)
 
     return rest.mapInArrow(step, schema)
 

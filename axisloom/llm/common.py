@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at a time; a longer document is one group of its own.
 GROUP_BYTES = 1 << 18
@@ -18,7 +20,8 @@ GROUP_BYTES = 1 << 18
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Where the session names none, a temporary folder is set if all runs on one machine; on a cluster that is
+    an error, as executors couldn't read what the driver or another executor wrote.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -28,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="axisloom-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
@@ -56,13 +61,30 @@ def dropped(df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most ``rows`` rows and 16 MB, where the session asks for larger ones."""
+    """Arrow batches of at most ``rows`` rows and 16 MB, where the session asks for larger ones.
+
+    The session keeps this setting, as plans read it when they run, long after the operator returned.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
         now = spark.conf.get(key, None)
         if now is None or not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
 
+def carried(docs: DataFrame, but: Iterable[str] = ()) -> Column:
+    """The columns of ``docs``, other than ``but``, as one struct ``row``; a last field of no use keeps it from being empty.
+
+    Names inside it can't clash with those that an operator adds beside it.
+    """
+    names = [c for c in docs.columns if c not in but]
+    return F.struct(*(F.col(f"`{c}`") for c in names), F.lit(0).alias("_" * (1 + max(map(len, names), default=0)))).alias("row")
+
+
+def uncarried(batch: pa.RecordBatch) -> list[pa.Array]:
+    """The columns that :func:`carried` put into ``row``."""
+    return batch.column("row").flatten()[:-1]
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the ``n + 1`` offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
