@@ -5,8 +5,9 @@ outer ones may be its edges). Each is hashed to an embedding; a text is the mean
 softmax layer over it gives the languages. Both layers are trained together by stochastic gradient descent
 in numpy. For prediction the layers fold into one table of a number for each hash and language.
 
-A temperature, fitted on rows kept from training, calibrates the probabilities, and so does the level below
-which a text is rejected: at most the share ``allowed`` of the calibration texts that are labelled rightly
+One more class stands for none of the languages; it is learnt from texts made by rule. A temperature, fitted
+on rows kept from training, calibrates the probabilities. A text is rejected when what the languages have of
+them together lies below a level: at most the share ``allowed`` of the kept texts that are labelled rightly
 lies below it, and it is never above one half.
 """
 
@@ -50,7 +51,7 @@ def _bytes(text: str) -> np.ndarray:
 
 
 class Model:
-    """``table``: score of each hash for each language; ``base``: scores of a text without subwords."""
+    """``table``: score of each hash for each language and for none; ``base``: scores of a text without subwords."""
 
     def __init__(self, langs: list[str], table: np.ndarray, base: np.ndarray, temperature: float = 1.0, reject_below: float = 0.0):
         self.langs, self.table, self.base, self.temperature, self.reject_below = langs, table, base, temperature, reject_below
@@ -58,7 +59,7 @@ class Model:
     def logits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Of neighbouring texts, lower-cased and with blanks for non-letters already."""
         lo = int(off[0])
-        sums = np.zeros((len(off) - 1, len(self.langs)))
+        sums = np.zeros((len(off) - 1, len(self.base)))
         count = np.zeros(len(off) - 1)
         step = 1 << 18
         for at in range(lo, int(off[-1]), step):  # pieces reach 3 bytes into the next
@@ -70,7 +71,7 @@ class Model:
             ok = (pos + size <= off[text + 1]) & (pos < at + step)
             text, h = text[ok], h[ok]
             count += np.bincount(text, minlength=len(count))
-            for c in range(len(self.langs)):
+            for c in range(len(self.base)):
                 sums[:, c] += np.bincount(text, self.table[h, c], len(count))
         return self.base + sums / np.maximum(count, 1)[:, None]
 
@@ -80,14 +81,46 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], rounds: int = 6, rate: float = 0.6, seed: int = 3, allowed: float = 0.0) -> Model:
-    """Every text is learnt whole and by two excerpts; every fifth text is kept for calibration."""
+def _other(texts: list[str], r: np.random.Generator, n: int) -> list[str]:
+    """Texts in none of the languages, made by rule: keyboard noise, and words of invented alphabets and spellings.
+
+    Half take a text's word lengths with its letters exchanged one for one, as in a language never met; a quarter
+    draw every letter evenly; a quarter draw letters of other scripts.
+    """
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    scripts = [(0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x100, 0x17F)]
+    out = []
+    for no in range(n):
+        size = int(r.integers(1, 60))
+        if no % 4 < 2 and texts:
+            t = texts[int(r.integers(len(texts)))]
+            at = int(r.integers(0, max(1, len(t) - 400)))
+            exchanged = str.maketrans(dict(zip(letters, r.permutation(letters), strict=True)))
+            out.append(t[at : at + 400].lower().translate(exchanged))
+            continue
+        a, z = scripts[int(r.integers(len(scripts)))]
+        draw = (lambda k: "".join(r.choice(letters, k))) if no % 4 == 2 else (lambda k, a=a, z=z: "".join(map(chr, r.integers(a, z + 1, k))))
+        out.append(" ".join(draw(int(r.integers(1, 12))) for _ in range(size)))
+    return out
+
+
+def fit(texts: list[str], langs: list[str], rounds: int = 6, rate: float = 0.6, seed: int = 3, allowed: float = 0.002) -> Model:
+    """Every text is learnt whole and by two excerpts; every fifth text is kept for calibration.
+
+    A further class, which is never predicted, is learnt from texts in no language at all (:func:`_other`, half as
+    many as there are texts, 200 at least). What it leaves to the languages is a text's belonging.
+    """
     names = sorted(set(langs))
     r = np.random.default_rng(seed)
-    embed = r.uniform(-1 / EMBED, 1 / EMBED, (1 << BITS, EMBED)).astype(np.float32)
-    out, bias = np.zeros((EMBED, len(names)), np.float32), np.zeros(len(names), np.float32)
+    none, width = len(names), len(names) + 1
+    embed = np.zeros((1 << BITS, EMBED), np.float32)
+    out, bias = r.normal(0, 0.3, (EMBED, width)).astype(np.float32), np.zeros(width, np.float32)
     rows, kept = [], []
-    for i, (t, lang) in enumerate(zip(texts, langs, strict=True)):
+    made = list(zip(texts, langs, strict=True))
+    if made:
+        made += [(t, None) for t in _other(texts, r, max(200, len(texts) // 2))]
+    number = {x: i for i, x in enumerate(names)}
+    for i, (t, lang) in enumerate(made):
         cuts = [t]
         for size in (60, 250):
             at = int(r.integers(0, max(1, len(t) - size)))
@@ -95,9 +128,9 @@ def fit(texts: list[str], langs: list[str], rounds: int = 6, rate: float = 0.6,
         for c in cuts:
             h, n = np.unique(_hashes(_bytes(c))[1], return_counts=True)
             if len(h):
-                (kept if i % 5 == 4 else rows).append((h, (n / n.sum()).astype(np.float32), names.index(lang)))
-    if len(names) < 2 or not rows:
-        return Model(names or [UNKNOWN], np.zeros((1 << BITS, max(1, len(names)))), np.zeros(max(1, len(names))))
+                (kept if i % 5 == 4 else rows).append((h.astype(np.uint16), (n / n.sum()).astype(np.float32), number.get(lang, none)))
+    if not names or not any(y < none for *_, y in rows):
+        return Model(names or [UNKNOWN], np.zeros((1 << BITS, max(1, none) + 1)), np.zeros(max(1, none) + 1))
     total = rounds * len(rows)
     for k in range(rounds):
         for no, i in enumerate(r.permutation(len(rows))):
@@ -123,62 +156,69 @@ def fit(texts: list[str], langs: list[str], rounds: int = 6, rate: float = 0.6,
 
         model.temperature = min((2.0**e for e in np.arange(-3, 3.01, 0.25)), key=loss)
         p = model.probabilities(z)
-        right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
+        right = np.sort(1 - p[(y < none) & (p[:, :none].argmax(axis=1) == y), none])
         if len(right):
             model.reject_below = float(min(0.5, right[int(allowed * len(right))]))
     return model
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 400, longest: int = 16_384) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 400, longest: int = 4096) -> Model:
     """Learn from rows with a language whose crc32(key as text) mod 4 isn't 2.
 
-    Every language of these rows is learnt, from a bounded sample of each: the ``sample`` rows that come first by
-    a hash of the key, of longer texts the first ``longest`` characters. Rows without text or language are left out.
+    Every language of these rows is learnt, from a bounded sample of each: the ``sample`` keys that come first by
+    a hash of the key. A text of more than ``longest`` characters gives an excerpt of that length, which begins
+    anywhere in it as the key's hash says. Rows without text, key or language are left out; of rows that repeat
+    a key and a language one is learnt, that with the least text hash.
+
+    Languages are counted first; of each only the keys whose hash is low enough to be among its first go on, so
+    the window that picks from these meets a few times ``sample`` rows of a language, whatever its size.
     """
-    known = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.length(text).alias("size")).where("k is not null and lang is not null and size > 0")
-    known = known.where(F.crc32(F.col("k").cast("string")) % 4 != 2)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    picked = known.withColumn("no", F.row_number().over(first)).where(F.col("no") <= sample).select("k", "lang").distinct()
-    rows = docs.select(F.col(key).alias("k"), F.substring(text, 1, longest).alias("t"), F.col(lang).alias("lang")).where("t <> ''").join(F.broadcast(picked), ["k", "lang"])
-    # a key may have many rows
-    rows = rows.withColumn("no", F.row_number().over(first.orderBy(F.xxhash64("k"), "k", "t"))).where(F.col("no") <= sample)
-    rows = sorted((r.lang, r.k, r.t) for r in rows.collect())
+    known = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t")).where("k is not null and lang is not null and t <> ''")
+    known = known.where(F.crc32(F.col("k").cast("string")) % 4 != 2).withColumn("at", F.xxhash64("k"))
+    keys = known.select("lang", "k", "at")
+    counts = keys.groupBy("lang").agg(F.approx_count_distinct("k", 0.02).alias("n"))
+    low = F.lit(-(2.0**63)) + F.lit(2.0**64) * (2 * sample + 200) / F.col("n")
+    near = keys.join(F.broadcast(counts), "lang").where(F.col("at").cast("double") <= low).select("lang", "k", "at").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "k"))
+    picked = near.withColumn("no", place).where(F.col("no") <= sample).select("lang", "k")
+    begin = F.lit(1) + F.pmod(F.xxhash64("k", F.lit(1)), F.greatest(F.length("t") - longest + 1, F.lit(1))).cast("int")
+    found = known.join(F.broadcast(picked), ["lang", "k"]).select("lang", "k", F.struct(F.xxhash64("t").alias("h"), F.substring("t", begin, F.lit(longest)).alias("t")).alias("one"))
+    rows = sorted((r.lang, r.k, r.one.t) for r in found.groupBy("lang", "k").agg(F.min("one").alias("one")).toLocalIterator())
     return fit([t for *_, t in rows], [x for x, *_ in rows])
 
 
-FOUND = "lang_pred string, score double, rejected boolean"
-
-
 def _predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     lower = pc.utf8_lower(pc.fill_null(column, ""))
     letters = pc.match_substring_regex(lower, r"\p{L}").to_numpy(zero_copy_only=False)
     data, off = common.text_buffers(lower)
     scores = np.zeros(len(off) - 1)
     best = np.zeros(len(off) - 1, np.int64)
+    belongs = np.zeros(len(off) - 1)
     for i, j in common.groups(off):
         part = _WORD[data[off[i] : off[j]]]
         p = model.probabilities(model.logits(part, off[i : j + 1] - off[i]))
-        best[i:j], scores[i:j] = p.argmax(axis=1), p.max(axis=1)
+        best[i:j], scores[i:j], belongs[i:j] = p[:, :-1].argmax(axis=1), p[:, :-1].max(axis=1), 1 - p[:, -1]
     names = [model.langs[b] if x else UNKNOWN for b, x in zip(best.tolist(), letters.tolist(), strict=True)]
     scores[~letters] = 0.0
-    return names, scores, ~letters | (scores < model.reject_below)
+    return names, scores, ~letters | (belongs < model.reject_below)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected``; columns of those names are replaced.
 
-    Without text, or without a letter in it, ``lang_pred`` is ``und``, the score 0 and the row rejected.
+    Without text, or without a letter in it, ``lang_pred`` is ``und``, the score 0 and the row rejected. Of equal
+    probabilities the language that sorts first wins. Repeated rows are judged one by one.
     """
     common.bounded_batches(docs.sparkSession)
     names = ["lang_pred", "score", "rejected"]
-    rest = docs.drop(*(c for c in names if c != text)).withColumn("_text", F.col(text))
-    schema = rest.drop("_text").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0), "rejected": F.lit(False)}).schema
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    rest = docs.select(F.col(text).alias("text"), common.carried(docs, names))
+    schema = docs.select(*own, F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score, rejected = _predict(model, batch.column("_text"))
-            kept = batch.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
+            lang, score, rejected = _predict(model, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*common.uncarried(batch), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
     return rest.mapInArrow(step, schema)
 
