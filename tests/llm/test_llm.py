@@ -51,22 +51,57 @@ def test_top_k_against_all_pairs(spark):
     x = np.repeat(r.normal(0, 0.2, (60, 16)), 3, axis=0)  # ties
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(None, [1.0] * 16), (500, None), (550, [float("nan")] * 16), (600, [None] * 16), (650, []), (700, [0.5] * 3), (701, [0.5] * 3)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
-    own = {i: np.floor(256 * np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v and all(t is not None and np.isfinite(t) for t in v)}
-    want = set()
-    for q in own:
+    want = brute_top_k(rows)
+    for load in (1, 40, 1 << 20):
+        assert sorted(tuple(t) for t in topk.top_k(df, load=load).collect()) == want
+    assert topk.top_k(df.where("false")).count() == 0 and topk.surviving_share(df.where("false")) == 0
+
+
+def brute_top_k(rows):
+    """Rows as nodes: only a query's own row is left out."""
+    own = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows if i is not None and v and all(t is not None and np.isfinite(t) for t in v)]
+    out = []
+    for a, (q, x) in enumerate(own):
         if q % 50 == 0:
-            best = sorted((-int(own[q] @ own[c]), c) for c in own if c != q and len(own[c]) == len(own[q]))[:5]
-            want |= {(q, n, c, -s) for n, (s, c) in enumerate(best, 1)}
-    for block in (1, 8192):
-        assert {tuple(t) for t in topk.top_k(df, block=block).collect()} == want
-    assert topk.top_k(df.where("false")).count() == 0
+            score = lambda y: max(-(2**63), min(2**63 - 1, sum(int(s) * int(t) for s, t in zip(x, y))))  # noqa: E731, B023
+            best = sorted((-score(y), c) for b, (c, y) in enumerate(own) if b != a and len(x) == len(y))[:5]
+            out += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def test_top_k_of_repeated_rows_and_large_numbers(spark):
+    r = np.random.default_rng(14)
+    x = r.normal(0, 1, (30, 8))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    rows += [(0, rows[0][1]), (0, rows[1][1]), (50, rows[0][1]), (50, rows[0][1]), (50, rows[0][1]), (3, rows[3][1])]
+    schema = "vec_id long, embedding array<float>"
+    assert sorted(tuple(t) for t in topk.top_k(spark.createDataFrame(rows, schema)).collect()) == brute_top_k(rows)
+    few = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.0, 1.0])]
+    assert sorted(tuple(t) for t in topk.top_k(spark.createDataFrame(few, schema)).collect()) == brute_top_k(few) and len(brute_top_k(few)) == 4
+    huge = [(i, [float(v) * 2.0**24 for v in row]) for i, row in enumerate(x[:8])] + [(50, [3e38] * 8), (51, [-3e38] * 8)]
+    assert sorted(tuple(t) for t in topk.top_k(spark.createDataFrame(huge, schema)).collect()) == brute_top_k(huge)
+
+
+def test_segment_statistics_turn_away_most_pairs(spark):
+    r = np.random.default_rng(15)
+    centers = r.normal(size=(40, 64)) * (0.85 ** np.arange(64))
+    x = centers[r.integers(0, 40, 4000)] + 0.05 * r.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    turn = np.linalg.qr(r.normal(size=(64, 64)))[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x @ turn)], "vec_id long, embedding array<double>")
+    assert topk.surviving_share(df) < 0.2
+    even = r.normal(size=(4000, 64))
+    df = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(even)], "vec_id long, embedding array<double>")
+    assert topk.surviving_share(df) < 0.9
 
 
 def test_bounds_hold():
     r = np.random.default_rng(1)
     x, y = np.floor(256 * r.normal(size=(40, 50))), np.floor(256 * r.normal(size=(30, 50)))
-    for parts in (1, 4, 16, 50, 64):
-        assert (topk.statistics(x, parts) @ topk.statistics(y, parts).T >= x @ y.T - 1e-6).all()
+    basis = topk.Basis(x)
+    for level in range(len(topk.resolutions(50))):
+        bound = basis.statistics(x @ basis.axes, level) @ basis.statistics(y @ basis.axes, level).T
+        assert (bound >= x @ y.T - 1e-5 * np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)).all()
 
 
 # ---- 2, 3
