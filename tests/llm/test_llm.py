@@ -230,7 +230,7 @@ def test_contamination_against_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(map(repr, brute_contamination(rows, [x for x in items if x[0] is not None])))
     assert sorted(repr(tuple(x)) for x in decontam.contamination_report(d, bench).collect()) == want
-    found = decontam.find_contamination(docs(spark, rows[:120]), bench, block_bytes=60)  # many blocks
+    found = decontam.find_contamination(docs(spark, rows[:120]), bench)
     n_hit = {x.doc_id: sum(b - a for a, b in zip(x.hit_spans[::2], x.hit_spans[1::2])) for x in found.collect()}
     assert all(n_hit[x[0]] == x[2] for x in brute_contamination(rows[:120], [x for x in items if x[0] is not None]))
     clean = decontam.clean_documents(d, bench)
