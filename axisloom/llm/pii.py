@@ -1,13 +1,14 @@
 """Personal data: exact base patterns, and a linear-chain conditional random field that adds spans.
 
 The field labels blank-separated tokens O, B-kind or I-kind from hashed features of their word shapes
-(collapsed and full shape, digit count, brackets, neighbours' shapes). It is trained here, from a small
-labelled table that :func:`labelled_table` makes by rule, by gradient ascent on the conditional likelihood
-(forward-backward over the whole padded table at once). Decoding is Viterbi over padded numpy batches.
-
-The chain runs over the neighbourhoods of tokens that hold a digit, an @ or a bracketed (at) / (dot); no
-kind can lie elsewhere. A decoded span is kept if it passes its kind's own test (digits, Luhn, parts at
-most 255) and overlaps no base span; so decoys that fail the base tests aren't let in by the field.
+(collapsed and full shape, digit count, short words, neighbours' shapes), made on byte arrays. It is trained here,
+from a small labelled table that :func:`labelled_table` makes by rule, by gradient ascent on the conditional
+likelihood (forward-backward over the whole padded table at once). Decoding is Viterbi in numpy batches.
+
+The chain covers every token of every text. A token whose score as O exceeds any other by more than all that
+transitions could make up is O on the best path, whatever stands beside it; the path is looked for between such
+tokens, over padded batches of like length, and is the best path of the whole chain. Decoded spans are kept
+unless they can't be of their kind (digits, Luhn, parts at most 255, no at sign in any writing) or overlap a base span.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import functools
 import hashlib
 import random
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +25,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisloom.llm import common
+from axisloom.llm import common, words
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-FEATURES = 1 << 12
-#: Tokens of context on either side of a token that sets off the chain.
-CONTEXT = 4
+FEATURE_BITS = 14
+FEATURES = 1 << FEATURE_BITS
 
 # Possessive: every pattern takes time linear in the text, and what they leave out can't match.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -95,39 +94,99 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- the field
 
 
-def _shape(token: str) -> str:
-    return "".join("9" if "0" <= c <= "9" else "a" if c.islower() else "A" if c.isupper() else c for c in token)
-
-
-def _features(tokens: list[str]) -> np.ndarray:
-    """Hashed feature numbers, the same count for each token."""
-    full = [_shape(t) for t in tokens]
-    short = [re.sub(r"(.)\1+", r"\1", s) for s in full]
-    bare = [s.strip(".,;:!?\"'") for s in short]
-    digits = [sum(c == "9" for c in s) for s in full]
-    words = [t.lower() if t.isalpha() and len(t) < 5 else "-" for t in tokens]
-    edge = ["", "", *bare, "", ""]
-    rows = []
-    for i, s in enumerate(full):
-        rows.append([
-            zlib.crc32(x.encode()) % FEATURES
-            for x in (
-                f"f{s[:24]}", f"s{short[i]}", f"b{bare[i]}", f"d{min(digits[i], 20)}", f"w{words[i]}",
-                f"p{edge[i + 1]}|{bare[i]}", f"n{bare[i]}|{edge[i + 3]}", f"q{edge[i]}|{edge[i + 1]}", f"r{edge[i + 3]}|{edge[i + 4]}",
-                f"e{digits[i - 1] if i else -1}|{digits[i]}", f"g{digits[i]}|{digits[i + 1] if i + 1 < len(full) else -1}",
-            )
-        ])
-    return np.array(rows, np.int32)
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[ord("0") : ord("9") + 1] = ord("9")
+_SHAPE[ord("a") : ord("z") + 1] = ord("a")
+_SHAPE[ord("A") : ord("Z") + 1] = ord("A")
+_SHAPE[0x80:] = 0x80
+_SHAPE[[ord(c) for c in "[{<"]] = ord("(")
+_SHAPE[[ord(c) for c in "]}>"]] = ord(")")
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".,;:!?\"'"]] = True
+_ALPHA = (_SHAPE == ord("a")) | (_SHAPE == ord("A"))
+_ALPHA[0x80:] = False
+_ALNUM = _ALPHA | (_SHAPE == ord("9"))
+_OPENS, _SHUTS = np.zeros(256, bool), np.zeros(256, bool)
+_OPENS[[ord(c) for c in "([{"]] = _SHUTS[[ord(c) for c in ")]}"]] = True
+#: Multipliers of the parts of a feature; their first is also its kind's.
+_PART = (np.random.default_rng(10).integers(0, 1 << 63, 24, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+NEAR = 2  # tokens on either side that features look at
+
+
+def _inside(solid: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the first to after the last solid byte of each token; nothing where there is none."""
+    at = np.append(np.flatnonzero(solid), size)
+    first = np.minimum(at[np.searchsorted(at, start)], end)
+    last = at[np.maximum(np.searchsorted(at, end) - 1, 0)] + 1
+    return first, np.where((last > first) & (last <= end), last, first)
+
+
+def _token_facts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """By token: hashes of its shape and of the shape without repeats and without stops at its ends, its digits, its
+    signs (@, bracketed at, bracketed dot, stops) and a hash of the word in it if that is a short one (else 0)."""
+    shape, n = _SHAPE[data], len(data)
+    keep = np.ones(n, bool)
+    keep[1:] = shape[1:] != shape[:-1]
+    keep[start] = True
+    at = np.cumsum(keep)
+    short = shape[keep]
+    bare = words.segment_hashes(short, *_inside(~_STOP[short], at[start] - 1, at[end - 1], len(short)))
+    count = lambda mask: (c := np.concatenate([[0], np.cumsum(mask)]))[end] - c[start]
+    low = words.LOWER[data]
+    opens = np.flatnonzero(_OPENS[data[: n - 3]]) if n > 3 else np.zeros(0, np.int64)
+    said = np.zeros((2, n), bool)
+    for row, word in zip(said, (b"at", b"dot"), strict=True):
+        k = opens[opens + len(word) + 1 < n]
+        row[k] = np.logical_and.reduce([low[k + 1 + i] == c for i, c in enumerate(word)]) & _SHUTS[data[k + 1 + len(word)]]
+    signs = (count(data == ord("@")) > 0) + 2 * (count(said[0]) > 0) + 4 * (count(said[1]) > 0) + 8 * np.minimum(count(data == ord(".")), 4)
+    first, last = _inside(_ALNUM[data], start, end, n)
+    letters = np.concatenate([[0], np.cumsum(_ALPHA[data])])
+    plain = (last - first < 5) & (letters[last] - letters[first] == last - first) & (last > first)
+    word = np.where(plain, words.segment_hashes(low, first, last), np.uint64(0))
+    return words.segment_hashes(shape, start, end), bare, np.minimum(count(shape == 57), 20).astype(np.uint64), signs.astype(np.uint64), word
+
+
+def _features(data: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Hashed feature numbers of every token, a row for each feature; neighbours are those of its own text."""
+    full, bare, digits, signs, word = _token_facts(data, start, end)
+    n = len(start)
+    same = {by: text[by:] == text[: n - by] for by in (1, 2)}
+
+    def near(x: np.ndarray, by: int) -> np.ndarray:
+        out = np.full(n, np.uint64(7919))
+        k = abs(by)
+        if k < n:
+            a, b = (slice(0, n - k), slice(k, n)) if by > 0 else (slice(k, n), slice(0, n - k))
+            np.copyto(out[a], x[b], where=same[k])
+        return out
+
+    def one(kind: int, *parts: np.ndarray) -> np.ndarray:
+        sums = np.full(n, _PART[kind])
+        for k, x in enumerate(parts):
+            sums += x * _PART[20 + k]
+        sums ^= sums >> np.uint64(32)
+        return (sums * _PART[19] >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
 
+    at_dot = signs & np.uint64(7)
+    before, after, d0, d1, w0, w1 = near(bare, -1), near(bare, 1), near(digits, -1), near(digits, 1), near(word, -1), near(word, 1)
+    return np.stack([
+        one(0, full), one(1, bare), one(2, digits, signs), one(3, word), one(4, before, bare), one(5, bare, after), one(6, near(bare, -2), before), one(7, after, near(bare, 2)),
+        one(8, d0, digits, d1), one(9, w0, bare), one(10, bare, w1), one(11, w0, word, w1), one(12, near(at_dot, -1), at_dot, near(at_dot, 1)), one(13, at_dot, word),
+    ])
 
-def labelled_table(n: int = 450, seed: int = 11) -> list[tuple[list[str], list[str]]]:
+
+def labelled_table(n: int = 1500, seed: int = 11) -> list[tuple[list[str], list[str]]]:
     """Sentences of tokens with labels, made by rule: entities in many writings among look-alikes."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    letters = lambda a, b: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(a, b)))
-    word = lambda: r.choice([letters(1, 9), letters(2, 6).capitalize(), letters(2, 7) + r.choice(".,;:"), r.choice(["at", "dot", "the", "de", "und", "que", "to"])])
+    letters = lambda a, b: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
     octet = lambda: str(r.randint(0, 255))
 
+    def word() -> str:
+        x = r.choice([letters(1, 10), letters(1, 10), letters(2, 8).capitalize(), letters(2, 5) + "é" + letters(0, 4), letters(1, 5).upper(), letters(2, 6) + "-" + letters(2, 6), letters(1, 4) + "'" + letters(1, 6)])
+        x = r.choice([x, x, x, r.choice(["at", "dot", "the", "de", "und", "que", "to", "a", "of", "in", "is", "on", "call", "mail", "or", "and"])])
+        return r.choice(["", "", "", "", "(", '"']) + x + r.choice(["", "", "", "", ".", ",", ";", ":", ")", '"'])
+
     def card() -> str:
         body = d(15)
         return next(body + c for c in "0123456789" if luhn(body + c))
@@ -135,43 +194,57 @@ def labelled_table(n: int = 450, seed: int = 11) -> list[tuple[list[str], list[s
     def cut(x: str, sep: str) -> str:
         return sep.join(x[i : i + 4] for i in range(0, 16, 4))
 
+    def email() -> str:
+        who = r.choice([letters(2, 9), letters(2, 7) + "." + letters(2, 7), letters(2, 7) + d(2), letters(1, 2) + "_" + letters(2, 7), letters(3, 7).capitalize()])
+        hosts = [letters(2, 9) + r.choice(["", "", "", d(1), "-" + letters(2, 5)]) for _ in range(r.choice([1, 1, 1, 2, 3]))] + [r.choice(["com", "org", "net", "de", "fr", "info", letters(2, 4)])]
+        a, z = r.choice([("(", ")"), ("[", "]"), ("{", "}")])
+        at = r.choice([f" {a}at{z} ", f"{a}at{z}", f" {a}at{z} ", f"{a}at{z}", f" {a}AT{z} ", f"{a}AT{z}", "@"])
+        dot = r.choice([f" {a}dot{z} ", f"{a}dot{z}", ".", f" {a}DOT{z} "]) if at != "@" or r.random() < 0.5 else "."
+        return who + at + dot.join(hosts)
+
+    def phone() -> str:
+        a, b, c = d(3), d(3), d(4)
+        return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{d(2)} {a} {b}{c}", f"1-{a}-{b}-{c}", f"({a}){b}-{c}", f"{a} {b} {c}", f"{a} {b}-{c}", f"0{d(3)} {d(3)} {d(4)}", f"00{d(2)} {d(3)} {d(6)}", f"0{d(2)}/{d(7)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"])
+
     def entity() -> tuple[str, str]:
-        kind = r.choice(KINDS)
+        kind = r.choice((*KINDS, "email", "email", "phone"))
         if kind == "email":
-            who, host, top = letters(3, 8), letters(3, 8), r.choice(["com", "org", "net", "de"])
-            return r.choice([f"{who}@{host}.{top}", f"{who}.{d(2)}@{host}{d(1)}.example.{top}", f"{who} (at) {host} (dot) {top}", f"{who}[at]{host}.{top}", f"{who} [at] {host}.{top}", f"{who}@{host} (dot) {top}"]), kind
+            return email(), kind
         if kind == "ip":
             return ".".join(octet() for _ in range(4)) + r.choice(["", "", f":{r.randint(80, 9999)}", "/24"]), kind
         if kind == "card":
             x = card()
             return r.choice([x, cut(x, " "), cut(x, "-"), cut(x, "."), cut(x, "/")]), kind
-        a, b, c = d(3), d(3), d(4)
-        return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+49 {a} {b}{c}", f"1-{a}-{b}-{c}", f"({a}){b}-{c}", f"{a} {b} {c}"]), kind
+        return phone(), kind
 
     def decoy() -> str:
         return r.choice([
-            f"{d(4)}-{d(2)}-{d(2)}", f"{d(1)}.{d(1)}.", f"version {d(1)}.{d(1)}.{d(1)}", f"{d(2)}:{d(2)}", f"{d(3)},{d(3)}.{d(2)}", d(r.randint(1, 8)),
-            "AKIA" + "".join(r.choice("ABCDEFG234567") for _ in range(16)), f"password={hashlib.md5(d(5).encode()).hexdigest()[:18]}", f'token = "{hashlib.sha1(d(5).encode()).hexdigest()}"',
-            f"CC BY-NC {d(1)}.0.", f"({d(4)})", f"{d(3)}%", f"#{d(5)}", f"p. {d(3)}", f"{letters(2, 4)}{d(2)}", f"@{letters(3, 7)}", f"{d(1)}/{d(2)}",
+            f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(2)}.{d(2)}.{d(4)}", f"{d(1)}.{d(1)}.", f"version {d(1)}.{d(1)}.{d(1)}", f"{d(2)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(3)},{d(3)}.{d(2)}", f"{d(1)},{d(3)},{d(3)}",
+            d(r.randint(1, 8)), f"{d(2)} {d(2)} {d(2)}", f"{d(3)} {d(3)}", f"{d(4)} {d(4)}", f"{d(1)} {d(3)} {d(3)}", f"{d(3)}-{d(3)}", f"{d(4)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", d(r.randint(17, 26)),
+            "AKIA" + "".join(r.choice("ABCDEFG234567") for _ in range(16)), f"password={hashlib.md5(d(5).encode()).hexdigest()[:18]}", f'token = "{hashlib.sha1(d(5).encode()).hexdigest()}"', hashlib.sha1(d(5).encode()).hexdigest(),
+            f"CC BY-NC {d(1)}.0.", f"({d(4)})", f"{d(3)}%", f"#{d(5)}", f"p. {d(3)}", f"{letters(2, 4)}{d(2)}", f"@{letters(3, 7)}", f"{d(1)}/{d(2)}", f"${d(3)}.{d(2)}", f"[{d(2)}]", f"{d(1)})", f"{letters(3, 8)} at {letters(3, 8)}", f"({letters(2, 4)}) {letters(3, 7)}", f"{letters(3, 7)} [{letters(2, 4)}]",
+            f"a dot {letters(3, 7)}", f"https://{letters(3, 8)}.{letters(3, 6)}.com/{letters(2, 5)}?{letters(1, 2)}={d(2)}", f"www.{letters(3, 8)}.org", f"{letters(3, 8)}.{letters(2, 3)}", f"{letters(2, 5)}_{letters(2, 5)}({letters(1, 3)})", f"{letters(3, 6)}[{d(1)}]", "+ " + d(2), f"({letters(3, 6)})", "=====", "----", "*", f"{d(2)}.", f"{letters(2, 6)}***", f"{letters(2, 4)}.&&&", f"{letters(2, 6)}$$$", f"{letters(2, 6)}###", f"{letters(2, 6)}.{letters(2, 6)}", f"{letters(2, 6)}@",
         ])
 
     out = []
     for _ in range(n):
         tokens, labels = [], []
         for _ in range(r.randint(1, 3)):
-            for _ in range(r.randint(1, 6)):
+            for _ in range(r.randint(0, 6)):
                 tokens.append(word())
                 labels.append("O")
-            if r.random() < 0.55:
+            for _ in range(r.choice([0, 0, 0, 1, 1, 2])):  # two stand side by side
                 text, kind = entity()
-                parts = (text + r.choice(["", "", "", ".", ","])).split(" ")
+                front, back = r.choice([("", ""), ("", ""), ("", ""), ("", "."), ("", ","), ("<", ">"), ("", ";"), ('"', '"'), ("(", ")") if text[0] != "(" else ("", "!"), ("(", "),") if text[0] != "(" else ("", "?")])
+                parts = (front + text + back).split(" ")
                 tokens += parts
                 labels += [f"B-{kind}"] + [f"I-{kind}"] * (len(parts) - 1)
-            else:
+            if r.random() < 0.5:
                 parts = decoy().split(" ")
                 tokens += parts
                 labels += ["O"] * len(parts)
-        out.append((tokens, labels))
+        if tokens:
+            out.append((tokens, labels))
     return out
 
 
@@ -180,33 +253,62 @@ class Field:
 
     def __init__(self, emit: np.ndarray, move: np.ndarray):
         self.emit, self.move = emit, move
+        #: By label what transitions can at most give it above O, on both sides together.
+        self.gain = (move - move[:, :1]).max(axis=0) + (move - move[:1]).max(axis=1)
+
+    def scores(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+        """Of every token by label; a few tokens at a time, with their neighbours."""
+        out = np.empty((len(start), len(LABELS)), np.float32)
+        for a in range(0, len(start), most):
+            b = min(len(start), a + most)
+            lo, hi = max(0, a - NEAR), min(len(start), b + NEAR)
+            at = int(start[lo])
+            features = _features(data[at : int(end[hi - 1])], start[lo:hi] - at, end[lo:hi] - at, text[lo:hi])[:, a - lo : b - lo]
+            part = self.emit[features[0]]
+            for k in range(1, len(features)):
+                part += self.emit[features[k]]
+            out[a:b] = part
+        return out
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        return self.emit[features].sum(axis=-2)
-
-    def decode(self, sequences: list[np.ndarray], batch: int = 512) -> list[np.ndarray]:
-        """Most likely labels of each sequence of feature rows, by Viterbi over padded batches of like length."""
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(sequences)
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
+    def decode(self, scores: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Most likely label of every token, by Viterbi over the chain of each text."""
+        n = len(scores)
+        path = np.zeros(n, np.int8)
+        free = (scores - scores[:, :1] + self.gain >= -1e-3)[:, 1:].any(axis=1)  # may be other than O
+        at = np.flatnonzero(free)
+        if not len(at):
+            return path
+        head = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (text[at[1:]] != text[at[:-1]])])
+        begin, end = at[head], np.append(at[np.flatnonzero(head)[1:] - 1], at[-1]) + 1
+        left = (begin > 0) & (text[np.maximum(begin - 1, 0)] == text[begin])
+        right = (end < n) & (text[np.minimum(end, n - 1)] == text[end - 1])
+        for i, labels in enumerate(self.viterbi([scores[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], left, right)):
+            path[begin[i] : end[i]] = labels
+        return path
+
+    def viterbi(self, chains: list[np.ndarray], left: np.ndarray, right: np.ndarray, batch: int = 512) -> list[np.ndarray]:
+        """Best labels of chains of scores, in padded batches of like length; ``left`` and ``right``: an O stands beside."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(chains)
+        order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
         at = 0
         while at < len(order):
-            longest = len(sequences[order[min(at + batch, len(order)) - 1]])
+            longest = len(chains[order[min(at + batch, len(order)) - 1]])
             take = order[at : at + max(1, min(batch, 200_000 // max(longest, 1)))]
             at += len(take)
-            t = len(sequences[take[-1]])
+            t = len(chains[take[-1]])
             if not t:
                 continue
             scores = np.zeros((len(take), t, len(LABELS)), np.float32)
+            length = np.array([len(chains[i]) for i in take])
             for k, i in enumerate(take):
-                if len(sequences[i]):
-                    scores[k, : len(sequences[i])] = self.scores(sequences[i])
+                scores[k, : length[k]] = chains[i]
             back = np.zeros((len(take), t, len(LABELS)), np.int8)
-            length = np.array([len(sequences[i]) for i in take])
-            best = scores[:, 0]
+            best = scores[:, 0] + self.move[0] * left[take][:, None]
             for s in range(1, t):
                 ways = best[:, :, None] + self.move
                 back[:, s] = ways.argmax(axis=1)
                 best = np.where((s < length)[:, None], ways.max(axis=1) + scores[:, s], best)
+            best = best + self.move[:, 0] * right[take][:, None]
             path = np.zeros((len(take), t), np.int8)
             rows = np.arange(len(take))
             now = best.argmax(axis=1)
@@ -218,27 +320,42 @@ class Field:
         return out
 
 
-def train(table: list[tuple[list[str], list[str]]], rounds: int = 80, rate: float = 0.5, decay: float = 1e-4) -> Field:
-    """Gradient ascent (with per-weight step sizes) on the mean conditional log-likelihood of the table."""
+def tokenized(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begin, end, number of its text) of the blank-separated tokens of texts."""
+    data, off = common.text_buffers(pa.array(texts, pa.large_string()))
+    start, end, _, word_off = words.document_words(data, off, words.BLANK_WORDS)
+    return data, start, end, np.repeat(np.arange(len(texts)), np.diff(word_off))
+
+
+def train(table: list[tuple[list[str], list[str]]], rounds: int = 60, rate: float = 0.5, decay: float = 1e-5, move_decay: float = 3e-3, dropped: float = 0.4, seed: int = 12) -> Field:
+    """Gradient ascent (with per-weight step sizes) on the mean conditional log-likelihood of the table.
+
+    Transitions decay more than features do, so these say most of what can be said; that keeps chains short. In
+    every round a share ``dropped`` of all features is left out, so that none is relied on alone.
+    """
+    r = np.random.default_rng(seed)
     number = {x: i for i, x in enumerate(LABELS)}
     rows, n_l = len(table), len(LABELS)
     t = max(len(x) for x, _ in table)
-    feats = [_features(x) for x, _ in table]
-    width = feats[0].shape[1]
+    made = _features(*tokenized([" ".join(x) for x, _ in table])).T
+    feats = np.split(made, np.cumsum([len(x) for x, _ in table])[:-1])
+    width = made.shape[1]
     x = np.zeros((rows, t, width), np.int32)
     y, on = np.zeros((rows, t), np.int64), np.zeros((rows, t), bool)
     for i, (f, (_, labels)) in enumerate(zip(feats, table, strict=True)):
         x[i, : len(f)], y[i, : len(f)], on[i, : len(f)] = f, [number[a] for a in labels], True
-    emit, move = np.zeros((FEATURES, n_l)), np.zeros((n_l, n_l))
+    emit, move = np.zeros((FEATURES, n_l), np.float32), np.zeros((n_l, n_l), np.float32)
     seen_emit, seen_move = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
     flat = x[on].ravel()
-    gold = np.eye(n_l)[y] * on[..., None]
+    gold = np.eye(n_l, dtype=np.float32)[y] * on[..., None]
     gold_move = np.zeros((n_l, n_l))
     np.add.at(gold_move, (y[:, :-1][on[:, 1:]], y[:, 1:][on[:, 1:]]), 1)
     lse = lambda a, axis: (m := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis=axis))
     for _ in range(rounds):
-        s = emit[x].sum(axis=2)
-        fwd, bwd = np.zeros((rows, t, n_l)), np.zeros((rows, t, n_l))
+        here = np.zeros((rows, t, width), np.float32)
+        here[on] = (r.random((int(on.sum()), width)) >= dropped) / (1 - dropped)
+        s = np.einsum("rtwl,rtw->rtl", emit[x], here)
+        fwd, bwd = np.zeros((rows, t, n_l), np.float32), np.zeros((rows, t, n_l), np.float32)
         fwd[:, 0] = s[:, 0]
         for k in range(1, t):
             fwd[:, k] = np.where(on[:, k, None], lse(fwd[:, k - 1][:, :, None] + move, 1) + s[:, k], fwd[:, k - 1])
@@ -247,8 +364,9 @@ def train(table: list[tuple[list[str], list[str]]], rounds: int = 80, rate: floa
         whole = lse(fwd[:, -1], 1)
         p = np.exp(fwd + bwd - whole[:, None, None]) * on[..., None]
         pair = np.exp(fwd[:, :-1, :, None] + move + (s[:, 1:] + bwd[:, 1:])[:, :, None, :] - whole[:, None, None, None])
-        g_move = (gold_move - (pair * on[:, 1:, None, None]).sum(axis=(0, 1))) / rows - decay * move
-        step = ((gold - p)[on] / rows).repeat(width, axis=0)
+        g_move = (gold_move - (pair * on[:, 1:, None, None]).sum(axis=(0, 1))) / rows - move_decay * move
+        step = ((gold - p)[on] / rows)[:, None, :] * here[on][..., None]
+        step = step.reshape(-1, n_l)
         g_emit = np.column_stack([np.bincount(flat, step[:, c], FEATURES) for c in range(n_l)]) - decay * emit
         seen_emit += g_emit**2
         seen_move += g_move**2
@@ -262,71 +380,60 @@ def field() -> Field:
     return train(labelled_table())
 
 
-_TOKEN = re.compile(r"\S+")
-_SIGNAL = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]")
-
-
-def _neighbourhoods(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans around every signal of a text; neighbourhoods that touch are one."""
-    out: list[list[tuple[int, int]]] = []
-    ahead = -1
-    last: list[tuple[int, int]] = []  # up to CONTEXT tokens before
-    for m in _TOKEN.finditer(text):
-        span = m.span()
-        if _SIGNAL.search(text, *span):
-            if ahead <= 0:
-                if ahead < 0 or last:
-                    out.append([])
-                out[-1] += last
-            out[-1].append(span)
-            last, ahead = [], CONTEXT
-        elif ahead > 0:
-            out[-1].append(span)
-            ahead -= 1
-        else:
-            last = [*last[-CONTEXT + 1 :], span]
-    return out
-
-
-def _passes(kind: int, text: str) -> bool:
-    digits = re.sub("[^0-9]", "", text)
-    if kind == 0:
-        return bool(re.fullmatch(r"[\w.%+-]+\s?(?:@|[(\[]at[)\]])\s?[\w-]+(?:\s?(?:\.|[(\[]dot[)\]])\s?[\w-]+)+", text))
+def _possible(kind: int, text: str) -> bool:
+    """Whether a decoded span can be of its kind, by its numbers or its at sign."""
+    numbers = re.findall("[0-9]+", text)
+    digits = "".join(numbers)
     if kind == 1:
-        return bool(m := re.match(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?:[:/]\d+)?$", text)) and all(int(x) <= 255 for x in m.groups())
-    if re.search("[^0-9 ().+/-]", text):
-        return False
-    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 10 <= len(digits) <= 15 and not re.fullmatch("[0-9.]+", text) or bool(re.fullmatch(r"\d{3}\.\d{3}\.\d{4}", text))
-
-
-def find_spans(texts: list[str], model: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-    """(base spans, added spans) of each text."""
-    base = [base_spans(t) for t in texts]
-    where, chains, chain_tokens = [], [], []
-    for i, t in enumerate(texts):
-        for tokens in _neighbourhoods(t):
-            where.append(i)
-            chain_tokens.append(tokens)
-            chains.append(_features([t[a:b] for a, b in tokens]))
-    added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for i, tokens, path in zip(where, chain_tokens, model.decode(chains), strict=True):
-        k = 0
-        while k < len(path):
-            if path[k] == 0:
-                k += 1
-                continue
-            kind, first = (int(path[k]) - 1) // 2, k
-            k += 1
-            while k < len(path) and path[k] == 2 * kind + 2:
-                k += 1
-            a, b = tokens[first][0], tokens[k - 1][1]
-            while a < b and texts[i][a] in "\"'<[{":
-                a += 1
-            while b > a and texts[i][b - 1] in ".,;:!?\"'>]}":
-                b -= 1
-            if a < b and _passes(kind, texts[i][a:b]):
-                added[i].append((a, kind, b))
-    return [(x, sorted(s for s in y if not any(s[0] < b and a < s[2] for a, _, b in x))) for x, y in zip(base, added, strict=True)]
+        return len(numbers) >= 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers[:4])
+    if kind == 2:
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    if kind == 3:
+        return 10 <= len(digits) <= 15
+    return bool(re.search(r"@|[(\[{]at[)\]}]", text, re.IGNORECASE))
+
+
+_FRONT, _BACK = frozenset(b"\"'<[{"), frozenset(b".,;:!?\"'>]}")
+_PAIRS = {ord(")"): ord("("), ord("]"): ord("["), ord("}"): ord("{")}
+
+
+def _trimmed(raw: bytes) -> tuple[int, int]:
+    """Where a span begins and ends without quotes, stops and brackets that aren't closed or opened in it."""
+    a, b = 0, len(raw)
+    while a < b:
+        if raw[b - 1] in _BACK and not (raw[b - 1] in _PAIRS and _PAIRS[raw[b - 1]] in raw[a : b - 1]):
+            b -= 1
+        elif raw[b - 1] == ord(")") and raw[a:b].count(b"(") < raw[a:b].count(b")"):
+            b -= 1
+        elif raw[a] in _FRONT or (raw[a] == ord("(") and raw[a:b].count(b"(") > raw[a:b].count(b")")):
+            a += 1
+        elif raw[a] == ord("(") and raw[b - 1] == ord(")") and raw.find(b")", a, b) == b - 1:
+            a, b = a + 1, b - 1
+        else:
+            break
+    return a, b
+
+
+def _decoded(data: np.ndarray, off: np.ndarray, model: Field) -> Iterator[tuple[int, int, int, int]]:
+    """(text, begin, kind, end) in code points of the spans that the field finds in neighbouring texts."""
+    start, end, _, word_off = words.document_words(data, off, words.BLANK_WORDS)
+    if not len(start):
+        return
+    text = np.repeat(np.arange(len(off) - 1), np.diff(word_off))
+    path = model.decode(model.scores(data, start, end, text), text)
+    on = path > 0
+    goes_on = np.zeros(len(path), bool)
+    goes_on[1:] = on[1:] & (path[1:] % 2 == 0) & ((path[1:] == path[:-1]) | (path[1:] == path[:-1] + 1)) & (text[1:] == text[:-1]) & on[:-1]
+    first = np.flatnonzero(on & ~goes_on)
+    rest = np.flatnonzero(~goes_on)
+    after = np.append(rest, len(path))[np.searchsorted(rest, first) + 1]
+    for i, j in zip(first.tolist(), after.tolist(), strict=True):
+        raw = data[start[i] : end[j - 1]].tobytes()
+        a, b = _trimmed(raw)
+        kind = (int(path[i]) - 1) // 2
+        if a < b and _possible(kind, raw[a:b].decode()):
+            before = int(np.count_nonzero((data[off[text[i]] : start[i] + a] & 0xC0) != 0x80))
+            yield int(text[i]), before, kind, before + len(raw[a:b].decode())
 
 
 def _spell(spans: list[tuple[int, int, int]]) -> str:
@@ -334,26 +441,26 @@ def _spell(spans: list[tuple[int, int, int]]) -> str:
 
 
 _ASKS = np.zeros(256, bool)
-_ASKS[[ord(c) for c in "0123456789@([+"]] = True
+_ASKS[[ord(c) for c in "0123456789@+"]] = True
 
 
-def _asking(column: pa.Array) -> np.ndarray:
-    """Rows whose text holds a byte without which there can be no span."""
+def _found(column: pa.Array, model: Field) -> Iterator[tuple[int, str, list, list]]:
+    """(row, text, base spans, added spans) of the texts that have any."""
     data, off = common.text_buffers(column)
-    out = np.zeros(len(off) - 1, bool)
     for i, j in common.groups(off):
-        hits = np.flatnonzero(_ASKS[data[off[i] : off[j]]]) + off[i]
-        out[i + np.unique(np.searchsorted(off[i : j + 1], hits, "right") - 1)] = True
-    return out
-
-
-def _found(column: pa.Array, model: Field) -> Iterator[tuple[int, str, list, list]]:
-    rows = np.flatnonzero(_asking(column)).tolist()
-    for at in range(0, len(rows), 64):
-        part = rows[at : at + 64]
-        texts = [column[i].as_py() for i in part]
-        for i, t, (base, more) in zip(part, texts, find_spans(texts, model), strict=True):
-            yield i, t, base, more
+        near = off[i : j + 1]
+        asks = np.add.reduceat(np.append(_ASKS[data[near[0] : near[-1]]], False).astype(np.int64), near[:-1] - near[0])
+        more: dict[int, list[tuple[int, int, int]]] = {}
+        for d, a, kind, b in _decoded(data, near, model):
+            more.setdefault(d, []).append((a, kind, b))
+        for d in range(j - i):
+            if near[d] < near[d + 1] and (asks[d] or d in more):
+                text = column[i + d].as_py()
+                base = base_spans(text)
+                # both are in order; an added span stays if no base span reaches into it
+                apart = [s for s in more.get(d, ()) if not any(s[0] < b and a < s[2] for a, _, b in base)]
+                if base or apart:
+                    yield i + d, text, base, apart
 
 
 def pii_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
