@@ -13,7 +13,7 @@ import base64
 import functools
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -237,6 +237,30 @@ def encode_ids(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: s
     return rest.mapInArrow(step, schema)
 
 
+def counter(vocabulary_path: str) -> Callable[[], pretoken.WordEncoder]:
+    """What makes, or finds, the encoder in a worker."""
+    return functools.partial(encoder, vocabulary_path)
+
+
+def token_counts(docs: DataFrame, of: Callable[[], pretoken.WordEncoder], text: str = "text", n: str = "n_tokens") -> DataFrame:
+    """``docs`` without their text and with the number of its tokens in column ``n``; null texts have none."""
+    common.bounded_batches(docs.sparkSession)
+    rest = docs.select(F.col(text).alias("text"), common.carried(docs, [text, n]))
+    schema = docs.drop(text, n).withColumn(n, F.lit(None).cast("long")).schema
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = of()
+        for batch, groups in encoded(batches, "text", made):
+            counts = []
+            for numbers, word_off in groups:
+                sums = np.concatenate([[0], np.cumsum(made.off[numbers + 1] - made.off[numbers])])
+                counts.append(sums[word_off[1:]] - sums[word_off[:-1]])
+            total = np.concatenate([np.zeros(0, np.int64), *counts])
+            yield pa.RecordBatch.from_arrays([*common.uncarried(batch), pa.array(total, pa.int64())], names=schema.names)
+
+    return rest.mapInArrow(step, schema)
+
+
 def decode_ids(docs: DataFrame, vocabulary_path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``docs`` with the text of each array of ids; bytes that aren't UTF-8 become U+FFFD. Null ids give null."""
     common.bounded_batches(docs.sparkSession)

@@ -1,12 +1,17 @@
 """Token counts as delta-maintained rollups.
 
 A batch of changes becomes signed deltas: an insert adds its documents and tokens, a delete takes away what
-was counted, a revised count takes away the old and adds the new. Deltas are summed by source, language
-and tokenizer version before anything is stored, so a batch stores one row for each key it touches, and the
-totals are the sums over all committed batches: neither corpus nor earlier totals are read to apply one.
-
-A batch is committed when its folder is renamed into place, which the store does once or not at all. A
-batch id that is there already is left alone, so a batch may be sent again after any failure.
+was counted, a revised count takes away the old and adds the new. A batch stores two small tables: its deltas
+summed by source, language and tokenizer version, and its ledger, the deltas of every document it touched, dealt
+into buckets by document. Totals are those of the last base and the few batches after it; neither the corpus
+nor the totals are read to apply a batch. Of the ledger only the buckets are read in which the batch takes
+something away, to see that this was counted before: a batch that would leave a document with less than nothing is
+refused as a whole.
+
+A batch is committed when its folder is renamed into place, which the store does once or not at all. A batch
+id that is there already is left alone, so a batch may be sent again after any failure. ``compact`` puts a base
+in place of base and batches by one such rename; the base keeps the ids of all its batches, so these stay
+known, and folders that it replaces are removed after it. A store must rename folders atomically.
 """
 
 from __future__ import annotations
@@ -17,35 +22,57 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisloom.llm import bpe, common
+from axisloom.llm import bpe, common, tokenfile
 
 KEYS = ("source", "lang", "tokenizer")
 CHANGES = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long, old_n_tokens long"
+SUMS = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
+LEDGER = "doc_id long, " + SUMS + ", bucket int"
+BUCKETS = 64
 
 
 def deltas(changes: DataFrame) -> DataFrame:
-    """Signed deltas by key of changes (op, source, lang, tokenizer, n_tokens, old_n_tokens).
+    """Signed deltas by document and key of changes (op, doc_id, source, lang, tokenizer, n_tokens, old_n_tokens).
 
     op is insert, delete or revise. A revision changes the tokens of a document that stays, from
-    ``old_n_tokens`` to ``n_tokens``. Null counts are 0; null keys are keys of their own. An unknown op fails the
-    query rather than being passed over.
+    ``old_n_tokens`` to ``n_tokens``. Null counts are 0; null ids and keys are ids and keys of their own; rows that
+    repeat count as often as they come. An unknown op fails the query rather than being passed over.
     """
     n, old = F.coalesce("n_tokens", F.lit(0)).cast("long"), F.coalesce("old_n_tokens", F.lit(0)).cast("long")
     docs = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0)
     docs = docs.otherwise(F.raise_error(F.concat(F.lit("unknown op "), F.coalesce("op", F.lit("null"))))).cast("long")
     tokens = F.when(F.col("op") == "insert", n).when(F.col("op") == "delete", -n).otherwise(n - old)
-    return changes.groupBy(*KEYS).agg(F.sum(docs).alias("d_docs"), F.sum(tokens).alias("d_tokens"))
+    found = changes.groupBy("doc_id", *KEYS).agg(F.sum(docs).alias("d_docs"), F.sum(tokens).alias("d_tokens"), F.max((F.col("op") != "insert").cast("int")).alias("takes"))
+    return found.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+
+
+class Refused(ValueError):
+    """A batch that takes away what isn't counted."""
 
 
 class Rollup:
-    """Totals kept in a folder of one sub-folder for each committed batch."""
+    """Totals kept in a folder: at most one base in force, and a sub-folder for each batch after it."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._at = jvm.org.apache.hadoop.fs.Path
         self.fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.fs.mkdirs(self._at(f"{self.path}/batches"))
+        for name in ("batches", "bases"):
+            self.fs.mkdirs(self._at(f"{self.path}/{name}"))
+
+    def _names(self, folder: str) -> list[str]:
+        return sorted(s.getPath().getName().partition("=")[2] for s in self.fs.listStatus(self._at(f"{self.path}/{folder}")))
+
+    def _base(self) -> str | None:
+        """The base in force, that with the highest number."""
+        held = self._names("bases")
+        return f"{self.path}/bases/base={held[-1]}" if held else None
+
+    def _based(self) -> set[str]:
+        """Batches that the base holds."""
+        base = self._base()
+        return {r.batch for r in self.spark.read.schema("batch string").parquet(f"{base}/ids").toLocalIterator()} if base else set()
 
     def _place(self, batch: str) -> str:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch) or batch.startswith((".", "_")):
@@ -53,86 +80,144 @@ class Rollup:
         return f"{self.path}/batches/batch={batch}"
 
     def committed(self, batch: str) -> bool:
-        return self.fs.exists(self._at(self._place(batch)))
+        return self.fs.exists(self._at(self._place(batch))) or batch in self._based()
+
+    def _commit(self, half: str, place: str) -> bool:
+        """Rename into place; False if another writer came first (a rename onto a folder would move this one inside it)."""
+        if not self.fs.exists(self._at(place)) and self.fs.rename(self._at(half), self._at(place)):
+            inside = self._at(f"{place}/{half.rpartition('/')[2]}")
+            if not self.fs.exists(inside):
+                return True
+            self.fs.delete(inside, True)
+        self.fs.delete(self._at(half), True)
+        return False
+
+    def _parts(self) -> list[str]:
+        base = self._base()
+        after = sorted(set(self._names("batches")) - self._based())
+        return [*([base] if base else []), *(f"{self.path}/batches/batch={b}" for b in after)]
+
+    def _read(self, table: str, schema: str, parts: list[str]) -> DataFrame:
+        """The union of a table of several parts; each is a folder of plain or of bucketed files."""
+        made = self.spark.createDataFrame([], schema)
+        if parts and table == "sums":
+            return self.spark.read.schema(schema).parquet(*(f"{p}/{table}" for p in parts))
+        for p in parts:
+            made = made.unionByName(self.spark.read.schema(schema).parquet(f"{p}/{table}"))
+        return made
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
-        """Commit a batch; False if it was committed before. Nothing half-written is ever read."""
+        """Commit a batch; False if it was committed before. Nothing half-written is ever read.
+
+        Raises :class:`Refused`, and commits nothing, if a document would be left with fewer than no documents or
+        tokens of its key: a delete of what was never inserted, or a revision of more than was counted.
+        """
         place = self._place(batch)
         if self.committed(batch):
             return False
         half = f"{self.path}/unfinished/{uuid.uuid4().hex}"
-        deltas(changes).coalesce(1).write.parquet(half)
-        done = not self.committed(batch) and self.fs.rename(self._at(half), self._at(place))
-        if not done or self.fs.exists(self._at(f"{place}/{half.rpartition('/')[2]}")):
-            # another writer came first: a rename onto a folder would have moved this one inside it
-            self.fs.delete(self._at(f"{place}/{half.rpartition('/')[2]}"), True)
-            self.fs.delete(self._at(half), True)
-            return False
-        return True
+        found = deltas(changes)
+        found.select("doc_id", *KEYS, "d_docs", "d_tokens", "takes", "bucket").write.partitionBy("bucket").parquet(f"{half}/ledger")
+        own = self.spark.read.schema(LEDGER.replace(", bucket", ", takes int, bucket")).parquet(f"{half}/ledger")
+        taking = own.where("takes = 1")
+        buckets = [r.bucket for r in taking.select("bucket").distinct().collect()]  # BUCKETS at most
+        if buckets:
+            taken = taking.select("doc_id", *KEYS, "d_docs", "d_tokens")
+            before = self._read("ledger", LEDGER, self._parts()).where(F.col("bucket").isin(buckets)).select("doc_id", *KEYS, "d_docs", "d_tokens")
+            both = taken.withColumn("own", F.lit(1)).unionAll(before.withColumn("own", F.lit(0)))
+            left = both.groupBy("doc_id", *KEYS).agg(F.sum("d_docs").alias("docs"), F.sum("d_tokens").alias("tokens"), F.max("own").alias("own"))
+            wrong = left.where("own = 1 and (docs < 0 or tokens < 0 or (docs = 0 and tokens <> 0))").limit(3).collect()
+            if wrong:
+                self.fs.delete(self._at(half), True)
+                raise Refused(f"batch {batch} takes away what isn't counted, such as {wrong}")
+        own.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(f"{half}/sums")
+        return self._commit(half, place)
 
     def batches(self) -> list[str]:
-        return sorted(s.getPath().getName().removeprefix("batch=") for s in self.fs.listStatus(self._at(f"{self.path}/batches")))
+        return sorted(set(self._names("batches")) | self._based())
 
     def totals(self) -> DataFrame:
         """``source``, ``lang``, ``tokenizer``, ``n_docs``, ``n_tokens``; keys whose documents are all gone are left out."""
-        names = self.batches()
-        if not names:
-            return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
-        held = self.spark.read.schema("source string, lang string, tokenizer string, d_docs long, d_tokens long").parquet(*(self._place(b) for b in names))
+        held = self._read("sums", SUMS, self._parts())
         return held.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self, into: str) -> None:
-        """Put the batches so far behind one summed copy for readers elsewhere; the batches, and so their ids, stay."""
-        self.totals().write.mode("overwrite").parquet(into)
+    def compact(self) -> bool:
+        """One base in place of the base in force and the batches so far; False if another writer came first.
+
+        Readers see the old parts until the rename and the new base from then on. The folders it replaces go
+        afterwards; if that is cut short they are skipped by readers and go with the next call. A batch committed
+        meanwhile isn't in the base, and stays.
+        """
+        parts, names = self._parts(), self.batches()
+        old_bases, held = self._names("bases"), set(self._names("batches"))
+        half = f"{self.path}/unfinished/{uuid.uuid4().hex}"
+        sums = self._read("sums", SUMS, parts).groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+        sums.write.parquet(f"{half}/sums")
+        ledger = self._read("ledger", LEDGER, parts).groupBy("doc_id", *KEYS, "bucket").agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+        ledger.where("d_docs <> 0 or d_tokens <> 0").write.partitionBy("bucket").parquet(f"{half}/ledger")
+        self.spark.createDataFrame([(b,) for b in names], "batch string").write.parquet(f"{half}/ids")
+        number = int(old_bases[-1]) + 1 if old_bases else 0
+        if not self._commit(half, f"{self.path}/bases/base={number:012d}"):
+            return False
+        for b in old_bases:
+            self.fs.delete(self._at(f"{self.path}/bases/base={b}"), True)
+        for b in held & set(names):
+            self.fs.delete(self._at(f"{self.path}/batches/batch={b}"), True)
+        return True
 
 
-#: Tokenizer versions whose counts SQL can state as well: blank-separated words, and bytes.
+#: Tokenizer versions: blank-separated words and bytes, which SQL can state as well, and the two byte-level BPE
+#: encoders, by merge ranks and by the tokenizers library.
 WORDS_V1, BYTES_V1 = "words-v1", "bytes-v1"
-#: The version counted by the byte-level BPE encoder.
-BPE_50K = "byte_bpe_50k"
+BPE_50K, BPE_50K_LIBRARY = "byte_bpe_50k", "byte_bpe_50k.json"
 
 
 def counted(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``doc_id``, ``source``, ``lang``, ``tokenizer``, ``n_tokens`` of documents; null texts have no tokens.
 
-    A tokenizer that isn't known raises an error.
+    Repeated rows are counted one by one; other columns, whatever their names, are passed over. A tokenizer that
+    isn't known raises an error.
     """
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.coalesce(F.col(text), F.lit("")).alias("t"))
     if tokenizer == WORDS_V1:
         n = F.regexp_count("t", F.lit("[^\\x20\\x09-\\x0D]+"))
     elif tokenizer == BYTES_V1:
         n = F.octet_length("t")
-    elif tokenizer == BPE_50K:
+    elif tokenizer in (BPE_50K, BPE_50K_LIBRARY):
         import public_tokenizers
 
-        kept, n = bpe.encode_ids(kept, public_tokenizers.path("byte_bpe_50k.tiktoken"), "t", "ids"), F.size("ids")
+        if tokenizer == BPE_50K:
+            of = bpe.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        else:
+            of = tokenfile.counter(public_tokenizers.path("byte_bpe_50k.json"))
+        kept, n = bpe.token_counts(kept, of, "t", "n"), F.col("n")
     else:
         raise ValueError(f"no tokenizer version {tokenizer!r}")
     return kept.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), n.cast("long").alias("n_tokens"))
 
 
-def history(docs: DataFrame, path: str | None = None) -> DataFrame:
+def history(docs: DataFrame, path: str | None = None, versions: tuple[str, str] = (BPE_50K, BPE_50K_LIBRARY)) -> DataFrame:
     """Totals after a fixed history of batches over all documents, one of them sent twice.
 
-    1 inserts every document by words; 2 deletes those whose id is divisible by 7; 3 revises the counts of
-    those left whose id is divisible by 5 to one more; 4 inserts
-    every document by bytes, under the other tokenizer version. Batch 2 is sent again at the end.
+    1 inserts every document by the first version; 2 deletes those whose id is divisible by 7; 3 revises the counts
+    of those left whose id is divisible by 5 to one more; 4 inserts every document by the second version. Then the
+    batches are compacted and batch 2 is sent again. Counts are taken once for each version and written down.
     """
     spark = docs.sparkSession
     roll = Rollup(spark, path or common.scratch(spark, "rollup"))
-    by_words, by_bytes = counted(docs, WORDS_V1), counted(docs, BYTES_V1)
+    first, second = (common.written(counted(docs, v), "counted") for v in versions)
     as_change = lambda df, op, n="n_tokens", old="null": df.selectExpr(f"'{op}' as op", "doc_id", "source", "lang", "tokenizer", f"{n} as n_tokens", f"cast({old} as bigint) as old_n_tokens")
-    gone = as_change(by_words.where("doc_id % 7 = 0"), "delete")
-    both = docs.where("doc_id % 5 = 0 and doc_id % 7 <> 0")
-    revised = as_change(counted(both, WORDS_V1), "revise", "n_tokens + 1", "n_tokens")
-    roll.apply("0001", as_change(by_words, "insert"))
+    gone = as_change(first.where("doc_id % 7 = 0"), "delete")
+    roll.apply("0001", as_change(first, "insert"))
     roll.apply("0002", gone)
-    roll.apply("0003", revised)
-    roll.apply("0004", as_change(by_bytes, "insert"))
+    roll.apply("0003", as_change(first.where("doc_id % 5 = 0 and doc_id % 7 <> 0"), "revise", "n_tokens + 1", "n_tokens"))
+    roll.apply("0004", as_change(second, "insert"))
+    roll.compact()
     roll.apply("0002", gone)
     return roll.totals()
 
 
+#: The history by the two versions that SQL can state; tests hold it against :func:`history`.
 HISTORY_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w, strlen(coalesce(text, '')) AS b FROM documents

@@ -9,6 +9,7 @@ Parquet table through Spark, so any store that Spark writes will do, and a lost
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -198,6 +199,15 @@ def library_encoder(path: str, added_tokens: bool = False) -> tuple[pretoken.Wor
     return _encoders[path, added_tokens]
 
 
+def counter(path: str) -> Callable[[], pretoken.WordEncoder]:
+    """What makes, or finds, the library's encoder in a worker."""
+    return functools.partial(_first, path)
+
+
+def _first(path: str) -> pretoken.WordEncoder:
+    return library_encoder(path, added_tokens=True)[0]
+
+
 SHARDS = "part int, seq int, before long, n_docs long, n_ids long, shard binary"
 
 

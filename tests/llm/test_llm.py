@@ -182,6 +182,17 @@ def test_rollup_is_idempotent(spark, tmp_path):
     with pytest.raises(ValueError):
         roll.apply("../x", change([]))
     assert roll.batches() == ["a", "b", "c"]
+    for wrong in (("delete", 77, "s", "en", "v1", 5, None), ("delete", 2, "s", None, "v1", 5, None), ("revise", 1, "s", "en", "v1", 1, 9), ("delete", 1, "s", "en", "v2", 7, None)):
+        with pytest.raises(rollup.Refused):
+            roll.apply("d", change([("insert", 5, "s", "en", "v1", 3, None), wrong]))
+    assert roll.batches() == ["a", "b", "c"] and roll.totals().count() == 1
+    assert roll.compact() and roll.batches() == ["a", "b", "c"] and roll._names("batches") == []
+    assert not roll.apply("b", change([("insert", 9, "s", "en", "v1", 99, None)]))
+    assert roll.apply("e", change([("delete", 1, "s", "en", "v1", 7, None), ("insert", None, None, "en", "v1", 4, None), ("insert", None, None, "en", "v1", 4, None)]))
+    assert roll.compact() and roll.compact() and len(roll._names("bases")) == 1
+    assert sorted(map(repr, (tuple(x) for x in roll.totals().collect()))) == sorted(map(repr, [("s", "en", "v1", 1, 0), (None, "en", "v1", 2, 8)]))
+    with pytest.raises(rollup.Refused):
+        roll.apply("f", change([("delete", 1, "s", "en", "v1", 7, None)]))
 
 
 def test_chat_pairs(spark):
