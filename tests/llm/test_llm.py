@@ -463,3 +463,12 @@ def test_field_learns_and_masks(spark):
 
 def test_every_operator_has_its_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("total", [10, 300_000, 10**9])
+def test_spread_join_as_a_plain_one(spark, total):
+    left = spark.createDataFrame([(k, (k * k) % 7, "x") for k in range(200)] + [(300, None, "x"), (301, 0, "alone")], "row long, key int, tag string")
+    right = left.where("key is not null and key <> 4").groupBy("key").agg(F.count("*").alias("rows"), F.max("row").alias("most"))
+    got = jaccard._spread_join(left, right, ["key"], "rows", total, "row", "tag = 'alone2'")
+    want = left.join(right.drop("rows"), "key", "left").select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
