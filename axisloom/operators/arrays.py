@@ -138,3 +138,9 @@ class DynamicArray:
             raise OverflowError("over capacity")
         kind = self.df.schema["v"].dataType
         return replace(self, df=self.df.sparkSession.range(n).select(F.col("id").alias("i"), F.lit(value).cast(kind).alias("v")), length=n)
+
+
+def randomize(df: DataFrame, at: list[str], seed: int, low: float = 0.0, high: float = 1.0, v: str = "v") -> DataFrame:
+    """``df`` with ``v`` drawn evenly from [low, high) by a hash of the seed and the place, so the same wherever rows lie."""
+    share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *at), 11) / float(1 << 53)
+    return df.withColumn(v, F.lit(low) + F.lit(high - low) * share)

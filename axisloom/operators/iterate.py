@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -9,16 +10,21 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: it outlives executors. The session's folder is used, a temporary one only in tests."""
+    """A reliable checkpoint: it outlives executors. The session's folder is used; a temporary one only where all runs on one machine."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="axisloom-"))
     return df.checkpoint(eager=True)
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame, DataFrame], float] | None = None, tolerance: float = 0.0, most: int = 100, every: int = 5) -> tuple[DataFrame, int]:
-    """Repeat ``step`` until ``change(old, new)`` is at most ``tolerance``; tested and saved every few steps."""
+    """Repeat ``step`` until ``change(old, new)`` is at most ``tolerance``; tested and saved every few steps.
+
+    Without ``change`` there are ``most`` steps; with it, not settling in ``most`` is an error.
+    """
     done, kept = 0, state
     while done < most:
         for _ in range(min(every, most - done)):
@@ -26,6 +32,8 @@ def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], change: Ca
             done += 1
         state = saved(state)
         if change is not None and change(kept, state) <= tolerance:
-            break
+            return state, done
         kept = state
+    if change is not None:
+        raise RuntimeError(f"the state did not settle in {most} steps")
     return state, done

@@ -46,11 +46,13 @@ def reproducing_coefficients(neighbours: DataFrame) -> DataFrame:
 
     def solve(batches):
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                m = np.array([[getattr(row, f"m{min(r, c)}{max(r, c)}") for c in range(4)] for r in range(4)])
-                out.append((row.a, *lu_solve(m, np.array([1.0, 0, 0, 0]))))
-            yield pd.DataFrame(out, columns=["a", "c0", "c1", "c2", "c3"])
+            m = np.array([[batch[f"m{min(r, c)}{max(r, c)}"] for c in range(4)] for r in range(4)], float).transpose(2, 0, 1)
+            one = np.array([1.0, 0, 0, 0])
+            if np.linalg.cond(m).max(initial=0) < 1e12:
+                x = np.linalg.solve(m, np.broadcast_to(one[:, None], (len(m), 4, 1)))[..., 0]
+            else:  # points whose neighbours lie in a plane
+                x = np.array([lu_solve(a, one) for a in m])
+            yield pd.DataFrame({"a": batch["a"], **{f"c{c}": x[:, c] for c in range(4)}})
 
     return moments.mapInPandas(solve, "a long, c0 double, c1 double, c2 double, c3 double")
 

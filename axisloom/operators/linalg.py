@@ -14,6 +14,21 @@ def det3(a: list[list[Column]]) -> Column:
     return a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]) - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0]) + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0])
 
 
+def determinant(a: list[list[Column]]) -> Column:
+    """By the cofactors of the first row; for a handful of rows."""
+    if len(a) == 1:
+        return a[0][0]
+    parts = [a[0][c] * determinant([[x for k, x in enumerate(row) if k != c] for row in a[1:]]) * (-1) ** c for c in range(len(a))]
+    return sum(parts[1:], parts[0])
+
+
+def inv4(a: list[list[Column]]) -> list[list[Column]]:
+    """Adjugate over determinant of a 4 by 4 matrix; the determinant is moved off zero by 1e-16."""
+    d = determinant(a) + TINY
+    without = lambda r, c: [[x for k, x in enumerate(row) if k != c] for n, row in enumerate(a) if n != r]
+    return [[determinant(without(c, r)) * (-1) ** (r + c) / d for c in range(4)] for r in range(4)]
+
+
 def inv3(a: list[list[Column]]) -> list[list[Column]]:
     """Adjugate over determinant; the determinant is moved off zero by 1e-16."""
     d = det3(a) + TINY
@@ -62,6 +77,16 @@ def lu_determinant(a: np.ndarray) -> float:
     return parity * float(np.prod(np.diag(lu)))
 
 
+def lu_inverse(a: np.ndarray) -> np.ndarray:
+    """Column by column of the identity; NaN where the matrix has a zero row."""
+    return np.column_stack([lu_solve(a, e) for e in np.eye(len(a))]) if len(a) else a
+
+
+def qr_determinant(a: np.ndarray) -> float:
+    """Product of the diagonal of R. Gram-Schmidt leaves it non-negative, so the sign of the determinant is lost."""
+    return float(np.prod(np.diag(qr_decompose(a)[1])))
+
+
 def qr_decompose(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Modified Gram-Schmidt."""
     q, n = a.astype(float).copy(), a.shape[1]
@@ -82,6 +107,34 @@ def qr_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def _each_block(cells: DataFrame, block: str, schema: str, of) -> DataFrame:
+    """``of`` (columns of what it gives, from a block's number and its i, j and v), for the cells of each small block.
+
+    Cells of a block travel as flat arrays, and many blocks come in one batch. A block has at most 2000 rows.
+    """
+    cell = F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v"))
+    packed = cells.groupBy(F.col(block).cast("long").alias("block")).agg(F.collect_list(cell).alias("c")).select("block", "c.i", "c.j", "c.v")
+
+    def step(batches):
+        for batch in batches:
+            found = []
+            for k, i, j, v in zip(batch["block"], batch["i"], batch["j"], batch["v"], strict=True):
+                if max(i.max(), j.max()) >= 2000:
+                    raise ValueError("a block has at most 2000 rows")
+                found.append(of(k, i, j, v))
+            if found:
+                yield pd.DataFrame({name: np.concatenate([np.atleast_1d(x[n]) for x in found]) for n, name in enumerate(y.split()[0] for y in schema.split(", "))})
+
+    return packed.mapInPandas(step, schema)
+
+
+def _matrix(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> np.ndarray:
+    n = int(max(i.max(), j.max())) + 1
+    a = np.zeros((n, n))
+    a[i, j] = v
+    return a
+
+
 def solve_blocks(cells: DataFrame, method: str = "lu", block: str = "block") -> DataFrame:
     """Solve each block's system: (block, i, j, v), the right side at j = -1; gives (block, i, x).
 
@@ -89,39 +142,60 @@ def solve_blocks(cells: DataFrame, method: str = "lu", block: str = "block") ->
     """
     solver = {"lu": lu_solve, "qr": qr_solve}[method]
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        n = int(part["i"].max()) + 1
-        if n > 2000:
-            raise ValueError("a block has at most 2000 unknowns")
+    def of(k: int, i: np.ndarray, j: np.ndarray, v: np.ndarray):
+        n = int(i.max()) + 1
         a, b = np.zeros((n, n)), np.zeros(n)
-        rhs = part["j"] < 0
-        b[part.loc[rhs, "i"]] = part.loc[rhs, "v"]
-        a[part.loc[~rhs, "i"], part.loc[~rhs, "j"]] = part.loc[~rhs, "v"]
-        return pd.DataFrame({block: part[block].iloc[0], "i": np.arange(n), "x": solver(a, b)})
+        rhs = j < 0
+        b[i[rhs]] = v[rhs]
+        a[i[~rhs], j[~rhs]] = v[~rhs]
+        return np.full(n, k), np.arange(n), solver(a, b)
+
+    return _each_block(cells, block, f"{block} long, i long, x double", of)
+
+
+def invert_blocks(cells: DataFrame, block: str = "block") -> DataFrame:
+    """The inverse of each block's matrix (block, i, j, v), by LU; nulls for a matrix with a zero row."""
 
-    return cells.groupBy(block).applyInPandas(one, f"{block} long, i long, x double")
+    def of(k: int, i: np.ndarray, j: np.ndarray, v: np.ndarray):
+        x = lu_inverse(_matrix(i, j, v))
+        at = np.divmod(np.arange(x.size), len(x))
+        return np.full(x.size, k), *at, x.ravel()
+
+    return _each_block(cells, block, f"{block} long, i long, j long, v double", of)
+
+
+def block_determinants(cells: DataFrame, method: str = "lu", block: str = "block") -> DataFrame:
+    """``det`` of each block's matrix (block, i, j, v); by QR without its sign."""
+    by = {"lu": lu_determinant, "qr": qr_determinant}[method]
+    return _each_block(cells, block, f"{block} long, det double", lambda k, i, j, v: (k, by(_matrix(i, j, v))))
 
 
 def matmul_blocked(a: DataFrame, b: DataFrame, size: int = 256) -> DataFrame:
-    """Dense product by blocks: cells meet in numpy tiles of ``size``; partial tiles are added in the plan."""
+    """Dense product by blocks: cells meet in numpy tiles of ``size``; partial tiles are added in the plan.
+
+    A tile travels as two flat arrays, the places of its cells in the tile and their values.
+    """
 
     def tiles(df: DataFrame) -> DataFrame:
-        return df.groupBy(F.expr(f"i div {size}").alias("bi"), F.expr(f"j div {size}").alias("bj")).agg(F.collect_list(F.struct("i", "j", "v")).alias("cells"))
+        place = ((F.col("i") % size) * size + F.col("j") % size).cast("int")
+        at = F.expr(f"i div {size}").alias("bi"), F.expr(f"j div {size}").alias("bj")
+        cells = df.groupBy(*at).agg(F.collect_list(F.struct(place.alias("at"), F.col("v").cast("double").alias("v"))).alias("cells"))
+        return cells.select("bi", "bj", F.col("cells.at").alias("at"), F.col("cells.v").alias("v"))
+
+    left = tiles(a).select("bi", F.col("bj").alias("bk"), F.col("at").alias("p"), F.col("v").alias("x"))
+    right = tiles(b).select(F.col("bi").alias("bk"), "bj", F.col("at").alias("q"), F.col("v").alias("y"))
 
-    left = tiles(a).select("bi", F.col("bj").alias("bk"), F.col("cells").alias("p"))
-    right = tiles(b).select(F.col("bi").alias("bk"), "bj", F.col("cells").alias("q"))
+    def full(at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        tile = np.zeros(size * size)
+        tile[at] = v
+        return tile.reshape(size, size)
 
     def product(batches):
         for batch in batches:
-            for bi, bj, bk, p, q in zip(batch["bi"], batch["bj"], batch["bk"], batch["p"], batch["q"], strict=True):
-                x, y = np.zeros((size, size)), np.zeros((size, size))
-                for c in p:
-                    x[c["i"] - bi * size, c["j"] - bk * size] = c["v"]
-                for c in q:
-                    y[c["i"] - bk * size, c["j"] - bj * size] = c["v"]
-                z = x @ y
+            for bi, bj, p, x, q, y in zip(*(batch[c] for c in ("bi", "bj", "p", "x", "q", "y")), strict=True):
+                z = full(p, x) @ full(q, y)
                 i, j = np.nonzero(z)
                 yield pd.DataFrame({"i": i + bi * size, "j": j + bj * size, "v": z[i, j]})
 
-    joined = left.join(right, "bk").select("bi", "bj", "bk", "p", "q")
+    joined = left.join(right, "bk").select("bi", "bj", "p", "x", "q", "y")
     return joined.mapInPandas(product, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))

@@ -62,8 +62,33 @@ def set_values_sparse(cells: DataFrame, lengths: DataFrame, row: str, value: flo
     return live.select(row, "pos", F.when(F.col("pos") < F.coalesce("stride", F.lit(0)), F.lit(value)).otherwise(F.col("v")).alias("v"))
 
 
-def append(elements: DataFrame, more: DataFrame, row: str) -> DataFrame:
-    """``more`` (row, ord, v) behind what each row holds, in the order of ``ord``."""
+def pack_down(elements: DataFrame, col: str = "col", pos: str = "pos", value: str = "v") -> DataFrame:
+    """``col``, ``vals`` of an array whose columns differ in length: the values down each column in the order of their slots."""
+    return pack(elements, col, pos, value)
+
+
+def pack_vectors(elements: DataFrame, row: str, pos: str, dims: list[str], value: str, sizes: list[int]) -> DataFrame:
+    """``row``, ``vals``: for each slot of a row its vector (one dimension) or tensor (more), flat with the last running fastest.
+
+    ``sizes`` gives the length of every dimension; a component that isn't there reads as 0, one beyond fails.
+    """
+    flat, total = F.lit(0).cast("long"), 1
+    for d, n in zip(dims, sizes, strict=True):
+        inside = F.col(d).between(0, n - 1)
+        flat, total = flat * n + F.when(inside, F.col(d)).otherwise(F.raise_error(F.lit(f"{d} is beyond {n}"))), total * n
+    slot = elements.groupBy(row, pos).agg(F.map_from_entries(F.collect_list(F.struct(flat.alias("k"), F.col(value).alias("x")))).alias("m"))
+    slot = slot.withColumn("x", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))))
+    return slot.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), "x"))), lambda s: s.x).alias("vals"))
+
+
+def append(elements: DataFrame, more: DataFrame, row: str, capacity: int | None = None) -> DataFrame:
+    """``more`` (row, ord, v) behind what each row holds, in the order of ``ord``; a slot at or beyond ``capacity`` fails.
+
+    With columns in place of rows it is the same for an array whose columns grow.
+    """
     length = elements.groupBy(row).agg(F.count("*").alias("_n"))
     placed = with_positions(more, row, ["ord"]).join(length, row, "left")
-    return elements.select(row, "pos", "v").unionByName(placed.select(row, (F.col("pos") + F.coalesce("_n", F.lit(0))).alias("pos"), "v"))
+    at = F.col("pos") + F.coalesce("_n", F.lit(0))
+    if capacity is not None:
+        at = F.when(at < capacity, at).otherwise(F.raise_error(F.lit(f"a row holds {capacity} elements at most")))
+    return elements.select(row, "pos", "v").unionByName(placed.select(row, at.alias("pos"), "v"))

@@ -1,4 +1,5 @@
-"""Reductions with the identities of their loops: sum 0, product 1, max and min the type's ends.
+"""Reductions with the identities of their loops: sum 0, product 1, max and min the type's least and
+greatest finite number.
 
 NaN never wins a comparison, so maxima and minima pass it over. Without group keys one row comes back even
 from no rows; with keys one row for each key (an outer index of a team loop) that has rows.
@@ -9,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LOWEST = {"double": float("-inf"), "float": float("-inf"), "long": -(2**63), "int": -(2**31)}
-HIGHEST = {"double": float("inf"), "float": float("inf"), "long": 2**63 - 1, "int": 2**31 - 1}
+# fixed values: the least and the greatest finite number of each type
+LOWEST = {"double": -1.7976931348623157e308, "float": -3.4028234663852886e38, "long": -(2**63), "int": -(2**31)}
+HIGHEST = {"double": 1.7976931348623157e308, "float": 3.4028234663852886e38, "long": 2**63 - 1, "int": 2**31 - 1}
 
 
 def _number(value: Column, kind: str) -> Column:

@@ -37,7 +37,7 @@ def jacobi_step(df: DataFrame, rows: int, cols: int) -> DataFrame:
 
 
 def jacobi(df: DataFrame, rows: int, cols: int, tolerance: float, most: int = 500, every: int = 10) -> tuple[DataFrame, int]:
-    """Steps until the largest change of a step is at most the tolerance."""
+    """Steps until the largest change of a step is at most the tolerance, and their number; an error after ``most``."""
     for done in range(1, most + 1):
         new = jacobi_step(df, rows, cols)
         if done % every and done < most:
@@ -48,7 +48,7 @@ def jacobi(df: DataFrame, rows: int, cols: int, tolerance: float, most: int = 50
         df = new
         if diff is None or diff <= tolerance:
             return df, done
-    return df, most
+    raise RuntimeError(f"the grid did not settle in {most} steps")
 
 
 def dfdc(c: Column) -> Column:

@@ -21,18 +21,6 @@ def set_values_sparse(spark, d):
     return ragged.set_values_sparse(buffer, lengths, "row", 7.0)
 
 
-@query("SELECT (p_partkey // 10) % 5 AS j, p_partkey // 50 AS i, p_partkey % 10 AS k, p_retailprice AS v FROM part WHERE p_partkey < 200")
-def view_reshape(spark, d):
-    df = table(spark, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("v"))
-    return arrays.DenseArray(df, (200,)).reshape((4, 5, 10)).df
-
-
-@query("SELECT (p_partkey - 20) // 6 AS i, (p_partkey - 20) % 6 AS j, p_retailprice AS v FROM part WHERE p_partkey BETWEEN 20 AND 49")
-def view_offset(spark, d):
-    df = table(spark, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("v"))
-    return arrays.DenseArray(df, (200,)).view(20, (5, 6)).df
-
-
 @query("SELECT a.range - 5 AS i, b.range - 2 AS j, a.range * 20 + b.range AS v FROM range(5, 15) a, range(2, 10) b")
 def view_slice(spark, d):
     return arrays.DenseArray.filled(spark, (30, 20), F.col("i") * 20 + F.col("j")).slice(i=(5, 15), j=(2, 10)).df
@@ -168,24 +156,10 @@ def csc_starts(spark, d):
     return sparse.starts(_coo(spark, d), _n(spark, d, "part"), "j")
 
 
-@query(f"SELECT s_suppkey AS i, p_partkey AS j, coalesce(v, 0) AS v FROM supplier JOIN part ON p_partkey % 50 = s_suppkey % 50 LEFT JOIN ({_COO}) c ON c.i = s_suppkey AND c.j = p_partkey")
-def csr_lookup(spark, d):
-    s, p = table(spark, d, "supplier"), table(spark, d, "part")
-    cells = s.join(p, F.col("p_partkey") % 50 == F.col("s_suppkey") % 50).select(F.col("s_suppkey").alias("i"), F.col("p_partkey").alias("j"))
-    return sparse.lookup(_coo(spark, d), cells)
-
-
 _BY_ROW = f"SELECT i, j, v, row_number() OVER (ORDER BY i, j) - 1 AS flat FROM ({_COO})"
 _BY_COL = f"SELECT i, j, v, row_number() OVER (ORDER BY j, i) - 1 AS flat FROM ({_COO})"
 
 
-@query(f"SELECT s_suppkey AS i, p_partkey AS j, coalesce(flat, -1) AS flat FROM supplier JOIN part ON p_partkey % 50 = s_suppkey % 50 LEFT JOIN ({_BY_ROW}) c ON c.i = s_suppkey AND c.j = p_partkey")
-def csr_flat_index(spark, d):
-    s, p = table(spark, d, "supplier"), table(spark, d, "part")
-    cells = s.join(p, F.col("p_partkey") % 50 == F.col("s_suppkey") % 50).select(F.col("s_suppkey").alias("i"), F.col("p_partkey").alias("j"))
-    return sparse.flat_lookup(_coo(spark, d), cells, _n(spark, d, "supplier"))
-
-
 @query(_BY_ROW)
 def csc_to_csr(spark, d):
     return sparse.flat_positions(_coo(spark, d), _n(spark, d, "supplier"))

@@ -64,14 +64,6 @@ def run_once(spark, d):
     return loops.run(spark, answer=F.lit(42))
 
 
-_RANGE = "l_orderkey >= 5 AND l_orderkey < 4000"
-
-
-@query(f"SELECT CAST(sum(l_partkey) AS BIGINT) AS v FROM lineitem WHERE {_RANGE}")
-def reduce_sum_1d(spark, d):
-    return reduce.reduce_all(table(spark, d, "lineitem").where(_RANGE), "long", v=("sum", F.col("l_partkey")))
-
-
 @query("SELECT CAST(sum(a.range * b.range) AS BIGINT) AS v FROM range(100) a, range(50) b")
 def reduce_sum_2d(spark, d):
     return reduce.reduce_all(loops.index_space(spark, (0, 100), (0, 50)), "long", v=("sum", F.col("i") * F.col("j")))
@@ -83,11 +75,6 @@ def reduce_sum_3d(spark, d):
     return reduce.reduce_all(loops.index_space(spark, (0, 10), (0, 15), (0, 20)), "long", v=("sum", x * x))
 
 
-@query("SELECT round(product(1 + l_discount / 100), 6) AS v FROM lineitem WHERE l_orderkey < 500")
-def reduce_product_1d(spark, d):
-    return reduce.reduce_all(table(spark, d, "lineitem").where("l_orderkey < 500"), v=("product", 1 + F.col("l_discount") / 100)).withColumn("v", F.round("v", 6))
-
-
 @query("SELECT round(product(1 + (a.range + b.range) / 1000.0), 6) AS v FROM range(20) a, range(10) b")
 def reduce_product_2d(spark, d):
     return reduce.reduce_all(loops.index_space(spark, (0, 20), (0, 10)), v=("product", 1 + (F.col("i") + F.col("j")) / 1000.0)).withColumn("v", F.round("v", 6))
@@ -98,12 +85,6 @@ def reduce_product_3d(spark, d):
     return reduce.reduce_all(loops.index_space(spark, (0, 8), (0, 9), (0, 10)), v=("product", 1 + (F.col("i") + F.col("j") + F.col("k")) / 10000.0)).withColumn("v", F.round("v", 6))
 
 
-@query(f"SELECT max(l_extendedprice) AS most, min(l_extendedprice) AS least FROM lineitem WHERE {_RANGE}")
-def reduce_max_min_1d(spark, d):
-    x = F.col("l_extendedprice")
-    return reduce.reduce_all(table(spark, d, "lineitem").where(_RANGE), most=("max", x), least=("min", x))
-
-
 @query("SELECT max((a.range - 30) * (b.range - 10)) AS most, min((a.range - 30) * (b.range - 10)) AS least FROM range(100) a, range(50) b")
 def reduce_max_min_2d(spark, d):
     x = (F.col("i") - 30) * (F.col("j") - 10)
@@ -116,7 +97,7 @@ def reduce_max_min_3d(spark, d):
     return reduce.reduce_all(loops.index_space(spark, (0, 10), (0, 15), (0, 20)), "long", most=("max", x), least=("min", x))
 
 
-@query("SELECT 0.0::DOUBLE AS s, 1.0::DOUBLE AS p, '-infinity'::DOUBLE AS most, 'infinity'::DOUBLE AS least")
+@query("SELECT 0.0::DOUBLE AS s, 1.0::DOUBLE AS p, (-1.7976931348623157e308)::DOUBLE AS most, 1.7976931348623157e308::DOUBLE AS least")
 def reduce_empty(spark, d):
     x = F.col("l_tax")
     return reduce.reduce_all(table(spark, d, "lineitem").where("l_orderkey < 0"), s=("sum", x), p=("product", x), most=("max", x), least=("min", x))
@@ -128,9 +109,30 @@ def do_reduce_sum_max_min(spark, d):
     return reduce.reduce_all(table(spark, d, "lineitem").where("l_quantity between 10 and 20"), "long", s=("sum", x), most=("max", x), least=("min", x))
 
 
-@query("SELECT round(product(1 + l_tax / 100), 6) AS p FROM lineitem WHERE l_orderkey BETWEEN 0 AND 300")
-def do_reduce_product(spark, d):
-    return reduce.reduce_all(table(spark, d, "lineitem").where("l_orderkey between 0 and 300"), p=("product", 1 + F.col("l_tax") / 100)).withColumn("p", F.round("p", 6))
+@query("SELECT CAST(sum(a.range * 7 - b.range) AS BIGINT) AS s, max((a.range - 3) * (b.range - 9)) AS most, min((a.range - 3) * (b.range - 9)) AS least FROM range(2, 21) a, range(0, 31) b")
+def do_reduce_2d(spark, d):
+    """Both ends of both loops belong to the space."""
+    i, j = F.col("i"), F.col("j")
+    space = loops.index_space(spark, (2, 20), (0, 30), inclusive=True)
+    return reduce.reduce_all(space, "long", s=("sum", i * 7 - j), most=("max", (i - 3) * (j - 9)), least=("min", (i - 3) * (j - 9)))
+
+
+@query("SELECT CAST(sum(a.range * b.range - c.range) AS BIGINT) AS s, max(a.range - b.range * c.range) AS most, min(a.range - b.range * c.range) AS least FROM range(1, 6) a, range(0, 7) b, range(3, 9) c")
+def do_reduce_3d(spark, d):
+    i, j, k = F.col("i"), F.col("j"), F.col("k")
+    space = loops.index_space(spark, (1, 5), (0, 6), (3, 8), inclusive=True)
+    return reduce.reduce_all(space, "long", s=("sum", i * j - k), most=("max", i - j * k), least=("min", i - j * k))
+
+
+@query("SELECT a.range AS i, b.range AS j FROM range(0, 20, 3) a, range(1, 10, 4) b")
+def for_loop_delta_2d(spark, d):
+    return loops.index_space(spark, (0, 20, 3), (1, 10, 4))
+
+
+@query("SELECT a.range AS i, b.range AS j, c.range AS k FROM range(0, 10, 3) a, range(1, 10, 4) b, range(2, 9, 2) c")
+def do_loop_delta_3d(spark, d):
+    """The ends 9, 9 and 8 are met by the strides and belong to the space."""
+    return loops.index_space(spark, (0, 9, 3), (1, 9, 4), (2, 8, 2), inclusive=True)
 
 
 @query("SELECT l_orderkey, CAST(sum(l_partkey) AS BIGINT) AS s, max(l_partkey) AS most, min(l_partkey) AS least FROM lineitem GROUP BY l_orderkey")

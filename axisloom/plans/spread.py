@@ -40,12 +40,6 @@ def global_to_local(spark, d):
     return dist.to_local(gids, _mapped(spark, d), "gid").select("o_orderkey", "gid", "part", "lid")
 
 
-@query(f"WITH {_MAP} SELECT a.range::INTEGER AS part, b.range AS lid, p.gid FROM range({PARTS}) a CROSS JOIN range(30) b LEFT JOIN p ON p.part = a.range AND p.lid = b.range")
-def local_to_global(spark, d):
-    lids = spark.range(PARTS * 30).select(F.expr("id div 30").cast("int").alias("part"), (F.col("id") % 30).alias("lid"))
-    return dist.to_global(lids, _mapped(spark, d), "gid").select("part", "lid", "gid")
-
-
 def _needs(spark, d):
     """Every part needs the ids just beside its own."""
     m = _mapped(spark, d)
@@ -80,18 +74,6 @@ def comm_unmatched(spark, d):
     return dist.unmatched(plan, plan.where("gid % 2 = 1"), "gid")
 
 
-@query(f"WITH {_MAP} SELECT round(sum(v), 2) AS s, max(v) AS most, min(v) AS least FROM p WHERE lid < 50")
-def all_reduce(spark, d):
-    v = F.col("v")
-    found = reduce.reduce_all(_mapped(spark, d).where("lid < 50"), s=("sum", v), most=("max", v), least=("min", v))
-    return found.withColumn("s", F.round("s", 2))
-
-
-@query(f"WITH {_MAP} SELECT round(product(1 + v / 1000000), 6) AS v FROM p WHERE lid < 20")
-def all_reduce_product(spark, d):
-    return dist.all_reduce(_mapped(spark, d), "product", 1 + F.col("v") / 1e6, F.col("lid") < 20).withColumn("v", F.round("v", 6))
-
-
 @query("SELECT CAST(sum(l_partkey) AS BIGINT) AS v FROM lineitem WHERE l_linenumber = 2")
 def all_reduce_fixed_1(spark, d):
     return dist.all_reduce(table(spark, d, "lineitem"), "sum", F.col("l_partkey"), fixed={"l_linenumber": 2}, kind="long")
@@ -107,29 +89,6 @@ def all_reduce_fixed_3(spark, d):
     return dist.all_reduce(table(spark, d, "lineitem"), "min", F.col("l_orderkey"), fixed={"l_linenumber": 1, "l_suppkey": 3, "l_partkey": 5}, kind="long")
 
 
-def _reverse(spark, d, mode):
-    target = table(spark, d, "supplier").select(F.col("s_suppkey").alias("gid"), F.col("s_acctbal").alias("v"))
-    got = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") % 150).alias("gid"), F.col("c_acctbal").alias("v"))
-    return dist.reverse(target, got, "gid", mode).withColumn("v", F.round("v", 2))
-
-
-_GOT = "SELECT c_custkey % 150 AS gid, sum(c_acctbal) AS s, arg_max(c_acctbal, c_custkey) AS last, max(abs(c_acctbal)) AS a FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1"
-for _mode, _sql in {
-    "sum": f"SELECT s_suppkey AS gid, round(s_acctbal + coalesce(s, 0), 2) AS v FROM supplier LEFT JOIN ({_GOT}) g ON gid = s_suppkey",
-    "insert": f"SELECT coalesce(s_suppkey, gid) AS gid, round(coalesce(last, s_acctbal), 2) AS v FROM supplier FULL OUTER JOIN ({_GOT}) g ON gid = s_suppkey",
-    "replace": f"SELECT s_suppkey AS gid, round(coalesce(last, s_acctbal), 2) AS v FROM supplier LEFT JOIN ({_GOT}) g ON gid = s_suppkey",
-    "absmax": f"SELECT s_suppkey AS gid, round(greatest(abs(s_acctbal), coalesce(a, 0)), 2) AS v FROM supplier LEFT JOIN ({_GOT}) g ON gid = s_suppkey",
-    "zero": f"SELECT s_suppkey AS gid, round(CASE WHEN last IS NULL THEN s_acctbal ELSE 0 END, 2) AS v FROM supplier LEFT JOIN ({_GOT}) g ON gid = s_suppkey",
-}.items():
-    query(_sql, f"reverse_comm_{_mode}")(lambda spark, d, m=_mode: _reverse(spark, d, m))
-
-
-@query("WITH e AS (SELECT l_orderkey % 5 AS part, l_orderkey AS elem, l_partkey AS node FROM lineitem WHERE l_orderkey < 400) SELECT DISTINCT n.part, e.elem FROM e JOIN (SELECT DISTINCT part, node FROM e) n ON n.node = e.node AND n.part <> e.part")
-def ghost_elements(spark, d):
-    e = table(spark, d, "lineitem").where("l_orderkey < 400").select((F.col("l_orderkey") % 5).alias("part"), F.col("l_orderkey").alias("elem"), F.col("l_partkey").alias("node"))
-    return dist.ghost_elements(e)
-
-
 # ---- vectors: prices of parts and their totals sold
 
 _XY = "WITH x AS (SELECT p_partkey AS k, p_retailprice AS v FROM part), y AS (SELECT l_partkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1)"

@@ -1,4 +1,4 @@
-"""Whole-table forms of queries whose own SQL covers a part of a table: same operators, every row."""
+"""Incidence, reductions, views, exchange, probes and closures over every row of their tables."""
 
 from __future__ import annotations
 
@@ -21,12 +21,12 @@ _E = "e AS (SELECT DISTINCT l_orderkey % 5 AS part, l_orderkey AS elem, l_partke
 
 
 @query(f"WITH {_E} SELECT DISTINCT a.elem, b.elem AS other FROM e a JOIN e b USING (node) WHERE a.elem <> b.elem")
-def element_adjacency_whole(spark, d):
+def element_adjacency(spark, d):
     return mesh.element_adjacency(_lines(spark, d))
 
 
 @query(f"WITH {_E} SELECT DISTINCT n.part, e.elem FROM e JOIN (SELECT DISTINCT part, node FROM e) n ON n.node = e.node AND n.part <> e.part")
-def ghost_elements_whole(spark, d):
+def ghost_elements(spark, d):
     return dist.ghost_elements(_lines(spark, d, (F.col("l_orderkey") % 5).alias("part")))
 
 
@@ -36,27 +36,27 @@ def _product(df, value):
 
 
 @query("SELECT 1::INTEGER AS sign, round(sum(ln(1 + l_discount / 100)), 6) AS log FROM lineitem")
-def reduce_product_1d_whole(spark, d):
+def reduce_product_1d(spark, d):
     return _product(table(spark, d, "lineitem"), 1 + F.col("l_discount") / 100)
 
 
 @query("SELECT 1::INTEGER AS sign, round(sum(ln(1 + l_tax / 100)), 6) AS log FROM lineitem")
-def do_reduce_product_whole(spark, d):
+def do_reduce_product(spark, d):
     return _product(table(spark, d, "lineitem"), 1 + F.col("l_tax") / 100)
 
 
 @query("SELECT CAST(sum(l_partkey) AS BIGINT) AS v FROM lineitem")
-def reduce_sum_1d_whole(spark, d):
+def reduce_sum_1d(spark, d):
     return reduce.reduce_all(table(spark, d, "lineitem"), "long", v=("sum", F.col("l_partkey")))
 
 
 @query("SELECT max(l_extendedprice) AS most, min(l_extendedprice) AS least FROM lineitem")
-def reduce_max_min_1d_whole(spark, d):
+def reduce_max_min_1d(spark, d):
     x = F.col("l_extendedprice")
     return reduce.reduce_all(table(spark, d, "lineitem"), most=("max", x), least=("min", x))
 
 
-# ---- views of the whole part table: inner extents are those of the partial forms, or what divides the size
+# ---- views of the whole part table: inner extents are what divides the size
 
 
 def _parts(spark, d):
@@ -66,7 +66,7 @@ def _parts(spark, d):
 
 
 @query("WITH a AS (SELECT count(*) AS n, gcd(count(*), 10) AS c FROM part), e AS (SELECT c, gcd(n // c, 5) AS b FROM a) SELECT p_partkey // (b * c) AS i, (p_partkey // c) % b AS j, p_partkey % c AS k, p_retailprice AS v FROM part, e")
-def view_reshape_whole(spark, d):
+def view_reshape(spark, d):
     a, n = _parts(spark, d)
     k = math.gcd(n, 10)
     j = math.gcd(n // k, 5)
@@ -74,7 +74,7 @@ def view_reshape_whole(spark, d):
 
 
 @query("WITH e AS (SELECT gcd(count(*) - 20, 6) AS b FROM part) SELECT (p_partkey - 20) // b AS i, (p_partkey - 20) % b AS j, p_retailprice AS v FROM part, e WHERE p_partkey >= 20")
-def view_offset_whole(spark, d):
+def view_offset(spark, d):
     """All elements from the offset on."""
     a, n = _parts(spark, d)
     j = math.gcd(n - 20, 6)
@@ -85,7 +85,7 @@ def view_offset_whole(spark, d):
 
 
 @query(f"WITH {_MAP}, l AS (SELECT a.range::INTEGER AS part, unnest(range((q + CASE WHEN a.range < r THEN 1 ELSE 0 END + 1)::BIGINT)) AS lid FROM range({PARTS}) a, n) SELECT l.part, l.lid, p.gid FROM l LEFT JOIN p ON p.part = l.part AND p.lid = l.lid")
-def local_to_global_whole(spark, d):
+def local_to_global(spark, d):
     mapped = _mapped(spark, d)
     size, more = divmod(table(spark, d, "customer").count(), PARTS)
     parts = spark.range(PARTS).select(F.col("id").cast("int").alias("part"))
@@ -94,13 +94,13 @@ def local_to_global_whole(spark, d):
 
 
 @query("SELECT round(sum(c_acctbal), 2) AS s, max(c_acctbal) AS most, min(c_acctbal) AS least FROM customer")
-def all_reduce_whole(spark, d):
+def all_reduce(spark, d):
     v = F.col("v")
     return reduce.reduce_all(_mapped(spark, d), s=("sum", v), most=("max", v), least=("min", v)).withColumn("s", F.round("s", 2))
 
 
 @query("SELECT 1::INTEGER AS sign, round(sum(ln(1 + c_acctbal / 1000000)), 6) AS log FROM customer")
-def all_reduce_product_whole(spark, d):
+def all_reduce_product(spark, d):
     return _product(_mapped(spark, d), 1 + F.col("v") / 1e6)
 
 
@@ -121,7 +121,7 @@ for _mode, _sql in {
     "absmax": f"SELECT s_suppkey AS gid, round(greatest(abs(s_acctbal), coalesce(a, 0)), 2) AS v FROM supplier LEFT JOIN ({_GOT}) g ON gid = s_suppkey",
     "zero": f"SELECT s_suppkey AS gid, round(CASE WHEN last IS NULL THEN s_acctbal ELSE 0 END, 2) AS v FROM supplier LEFT JOIN ({_GOT}) g ON gid = s_suppkey",
 }.items():
-    query(_sql, f"reverse_comm_{_mode}_whole")(lambda spark, d, m=_mode: _reverse(spark, d, m))
+    query(_sql, f"reverse_comm_{_mode}")(lambda spark, d, m=_mode: _reverse(spark, d, m))
 
 
 # every stored cell, and for each the cell of the same part in a row that no supplier has
@@ -134,16 +134,16 @@ def _cells(spark, d):
 
 
 @query(f"WITH {_CELLS} SELECT q.i, q.j, coalesce(c.v, 0) AS v FROM q LEFT JOIN c ON c.i = q.i AND c.j = q.j")
-def csr_lookup_whole(spark, d):
+def csr_lookup(spark, d):
     return sparse.lookup(_coo(spark, d), _cells(spark, d))
 
 
 @query(f"WITH {_CELLS}, f AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS flat FROM c) SELECT q.i, q.j, coalesce(f.flat, -1) AS flat FROM q LEFT JOIN f ON f.i = q.i AND f.j = q.j")
-def csr_flat_index_whole(spark, d):
+def csr_flat_index(spark, d):
     return sparse.flat_lookup(_coo(spark, d), _cells(spark, d), table(spark, d, "supplier").count())
 
 
 @query(_NEAR)
-def symmetric_neighbors_whole(spark, d):
+def symmetric_neighbors(spark, d):
     """The closure of each pair given once, from its lower id, is every pair both ways."""
     return points.symmetric(_near(spark, d).where("a < b"))
