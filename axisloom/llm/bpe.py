@@ -24,7 +24,7 @@ from axisloom.llm import common, pretoken, words
 from axisloom.llm.pretoken import ranges
 
 #: Text gathered before a replay, and token ids written out at a time.
-REPLAY_BYTES, OUT_IDS = 40 << 20, 1 << 18
+REPLAY_BYTES, OUT_IDS = 8 << 20, 1 << 18
 NO_RANK = np.int32(1 << 30)
 
 

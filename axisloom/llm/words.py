@@ -82,7 +82,7 @@ def split(data: np.ndarray, starts: np.ndarray, kind: np.ndarray) -> tuple[np.nd
     return begin, end, segment_hashes(data, begin, end)
 
 
-def document_words(data: np.ndarray, off: np.ndarray, kind: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def document_words(data: np.ndarray, off: np.ndarray, kind: np.ndarray, piece: int = (1 << 18) - 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of neighbouring documents: (start, end, hash) by byte of ``data``, and word offsets by document.
 
     A long stretch is taken in pieces that end beside a separator, so memory beyond the words stays bounded.
