@@ -178,6 +178,7 @@ def encoded(batches: Iterator[pa.RecordBatch], text: str, of: pretoken.WordEncod
             yield from waiting
             of.trim()
             waiting, size = [], 0
+            pa.default_memory_pool().release_unused()
     of.learn()
     yield from waiting
     of.trim()

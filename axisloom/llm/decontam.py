@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -213,23 +212,25 @@ def _judged(documents: DataFrame, benchmark: DataFrame, item: str, item_text: st
     rows = marked.where("words is null").select("number", "n_words", "asks", "document")
     spans, none = F.array().cast("array<long>"), F.array().cast("array<string>")
     free = rows.where("not asks").select("document", "n_words", spans.alias("hit_spans"), none.alias("hit_items"))
-    judged = rows.where("asks").join(hits, "number", "left").select("document", "n_words", F.coalesce(_disjoint(F.col("spans")), spans).alias("hit_spans"), F.coalesce("hit_items", none).alias("hit_items"))
-    return free.unionAll(judged)
+    judged = rows.where("asks").join(hits, "number", "left").select("document", "n_words", "spans", F.coalesce("hit_items", none).alias("hit_items"))
+    return free.unionAll(judged.mapInArrow(_merged, free.schema))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _disjoint(spans: pd.Series) -> pd.Series:
-    """begin, end, begin, end ... of the union of spans, each 16 times its begin and its length."""
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(document, n_words, spans, hit_items) with the union of spans, each 16 times its begin and its length, as
+    begin, end, begin, end ..."""
 
-    def one(x: np.ndarray | None) -> np.ndarray | None:
-        if x is None:
-            return None
-        x = np.sort(x)
+    def one(spans: pa.Scalar) -> np.ndarray:
+        if not spans.is_valid or not len(spans.values):
+            return np.zeros(0, np.int64)
+        x = np.sort(spans.values.to_numpy())
         begin, reach = x >> 4, np.maximum.accumulate((x >> 4) + (x & 15))
         new = np.concatenate([[True], begin[1:] > reach[:-1]])
         return np.column_stack([begin[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(x) - 1)]]).ravel()
 
-    return spans.map(one)
+    for batch in batches:
+        hit = pa.array([one(x) for x in batch.column("spans")], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("document"), batch.column("n_words"), hit, batch.column("hit_items")], names=["document", "n_words", "hit_spans", "hit_items"])
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

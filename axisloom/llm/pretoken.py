@@ -122,7 +122,7 @@ class WordTable:
         if 2 * (self.size + len(h)) > len(self.keys):
             held = self.keys != 0
             keys, values = self.keys[held], self.values[held]
-            bits = int(4 * (self.size + len(h))).bit_length()
+            bits = int(2 * (self.size + len(h))).bit_length()
             self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
             self._place(keys, values)
         self._place(h, np.arange(self.size, self.size + len(h), dtype=np.int32))
