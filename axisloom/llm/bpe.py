@@ -25,6 +25,8 @@ from axisloom.llm.pretoken import ranges
 
 #: Text gathered before a replay, and token ids written out at a time.
 REPLAY_BYTES, OUT_IDS = 8 << 20, 1 << 18
+#: Pairs that are looked up at a time.
+RANK_PAIRS = 1 << 17
 NO_RANK = np.int32(1 << 30)
 
 
@@ -62,6 +64,9 @@ class Vocabulary:
         return words.mix((a.astype(np.uint64) << np.uint64(32)) | (b.astype(np.uint64) + np.uint64(1)))
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair's joined bytes; many pairs are looked up in pieces, as that takes ten times their memory."""
+        if len(a) > RANK_PAIRS:
+            return np.concatenate([self.rank(a[i : i + RANK_PAIRS], b[i : i + RANK_PAIRS]) for i in range(0, len(a), RANK_PAIRS)])
         at = self.table.find(self._pair(a, b))
         return np.where(at >= 0, self.joined[at], NO_RANK)
 
@@ -178,10 +183,11 @@ def encoded(batches: Iterator[pa.RecordBatch], text: str, of: pretoken.WordEncod
             yield from waiting
             of.trim()
             waiting, size = [], 0
-            pa.default_memory_pool().release_unused()
+            common.give_back()
     of.learn()
     yield from waiting
     of.trim()
+    common.give_back()
 
 
 def documents(of: pretoken.WordEncoder, numbers: np.ndarray, word_off: np.ndarray, most: int = OUT_IDS) -> Iterator[np.ndarray]:

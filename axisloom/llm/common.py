@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,24 @@ def groups(off: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
+def give_back() -> None:
+    """Return memory that a worker has freed to the system, where its allocator can; it else stays with the worker."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def tidied(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step``, which gives freed memory back at its end: workers outlive tasks and wait beside those of later stages."""
+
+    @functools.wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        give_back()
+
+    return run
+
+
 def longs(values: np.ndarray) -> pa.Array:
     """Unsigned 64-bit patterns as Spark's longs."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))

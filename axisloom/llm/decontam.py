@@ -201,7 +201,7 @@ def _judged(documents: DataFrame, benchmark: DataFrame, item: str, item_text: st
     kinds = [("number", T.LongType()), ("n_words", T.LongType()), ("asks", T.BooleanType()), ("document", documents.schema["document"].dataType)]
     kinds += [("n", T.IntegerType()), ("words", T.StringType()), ("rows", T.ArrayType(T.LongType())), ("places", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField(name, kind) for name, kind in kinds])
-    marked = common.written(documents.mapInArrow(_marked(sent, sorted(r.n for r in counts if r.n is not None)), schema), "marked")
+    marked = common.written(documents.mapInArrow(common.tidied(_marked(sent, sorted(r.n for r in counts if r.n is not None))), schema), "marked")
 
     known = windows.where("item is not null").select("n", "words", "item").distinct()
     met = marked.where("words is not null").select("n", "words", "rows", "places").join(known, ["n", "words"])

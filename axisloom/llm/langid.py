@@ -220,7 +220,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             lang, score, rejected = _predict(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*common.uncarried(batch), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
-    return rest.mapInArrow(step, schema)
+    return rest.mapInArrow(common.tidied(step), schema)
 
 
 def language_report(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

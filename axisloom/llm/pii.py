@@ -487,7 +487,7 @@ def pii_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(counts[:, c]) for c in range(5)), pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(step, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:6]) + ", base_sha256 string, spans string")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(common.tidied(step), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:6]) + ", base_sha256 string, spans string")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -522,4 +522,4 @@ def masked(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
                 batch = pa.RecordBatch.from_arrays(columns, names=names)
             yield batch
 
-    return docs.mapInArrow(step, schema)
+    return docs.mapInArrow(common.tidied(step), schema)
