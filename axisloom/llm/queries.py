@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axisloom.llm import bpe, chat, decontam, jaccard, langid, pii, quality, rollup, tokenfile, topk
+from axisloom.llm import bpe, chat, decontam, jaccard, langid, pii, quality, rollup, tokenfile, topk, whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
 TOP_K_SQL = """
 WITH v AS MATERIALIZED (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -74,6 +78,6 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality, op3_language, op4_token_counts, op5_chat_pairs, op6_decontamination, op7_token_files, op8_byte_bpe, op9_jaccard_join, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality, op3_language, op4_token_counts, op5_chat_pairs, op6_decontamination, op7_token_files, op8_byte_bpe, op9_jaccard_join, op10_pii, op11_whitening)}
 #: The others' rows can't be stated in SQL (trained models, tokenizers, components of similarity); tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {"op1_top_k": TOP_K_SQL, "op5_chat_pairs": chat.PAIRS_SQL}
