@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axisloom.llm import align, bpe, chat, decontam, jaccard, langid, pii, quality, rollup, tokenfile, topk, whiten
+from axisloom.llm import align, bpe, chat, decontam, jaccard, langid, pii, quality, rollup, tokenfile, topk, toxicity, whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whitening_report(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_report(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -82,6 +87,6 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality, op3_language, op4_token_counts, op5_chat_pairs, op6_decontamination, op7_token_files, op8_byte_bpe, op9_jaccard_join, op10_pii, op11_whitening, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality, op3_language, op4_token_counts, op5_chat_pairs, op6_decontamination, op7_token_files, op8_byte_bpe, op9_jaccard_join, op10_pii, op11_whitening, op12_toxicity, op13_alignment)}
 #: The others' rows can't be stated in SQL (trained models, tokenizers, components of similarity); tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {"op1_top_k": TOP_K_SQL, "op5_chat_pairs": chat.PAIRS_SQL}
