@@ -6,17 +6,23 @@ import re
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: it outlives executors. The session's folder is used; a temporary one only where all runs on one machine."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share: the session's; a temporary one only where all runs on one machine."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="axisloom-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: it outlives executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
