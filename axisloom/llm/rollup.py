@@ -8,15 +8,20 @@ nor the totals are read to apply a batch. Of the ledger only the buckets are rea
 something away, to see that this was counted before: a batch that would leave a document with less than nothing is
 refused as a whole.
 
-A batch is committed when its folder is renamed into place, which the store does once or not at all. A batch
-id that is there already is left alone, so a batch may be sent again after any failure. ``compact`` puts a base
-in place of base and batches by one such rename; the base keeps the ids of all its batches, so these stay
-known, and folders that it replaces are removed after it. A store must rename folders atomically.
+What is in force is written in a log of numbered entries: entry n names the base and the batches after it. A
+commit writes its tables first and then renames its entry onto the next number, which the store does for one writer
+only. Who comes second reads the entry that came first and looks again: is its batch id known now, was what it takes
+away taken by the other? So a batch id counts once, a batch may be sent again after any failure, and of two batches
+that take the same away one is refused. ``compact`` replaces those batches that it has read, no others. Readers see the
+tables of one entry; what an entry replaces stays until ``clean``, which is told for how long readers may need it. A
+store must rename folders atomically.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,54 +56,82 @@ class Refused(ValueError):
 
 
 class Rollup:
-    """Totals kept in a folder: at most one base in force, and a sub-folder for each batch after it."""
+    """Totals kept in a folder: tables of bases and batches, and a log that says which of them are in force."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._at = self._jvm.org.apache.hadoop.fs.Path
         self.fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for name in ("batches", "bases"):
+        for name in ("log", "data"):
             self.fs.mkdirs(self._at(f"{self.path}/{name}"))
 
-    def _names(self, folder: str) -> list[str]:
-        return sorted(s.getPath().getName().partition("=")[2] for s in self.fs.listStatus(self._at(f"{self.path}/{folder}")))
+    def _listed(self, folder: str) -> list[tuple[str, float]]:
+        """(name, time in seconds) of what a folder holds, by name."""
+        return sorted((s.getPath().getName(), s.getModificationTime() / 1000) for s in self.fs.listStatus(self._at(f"{self.path}/{folder}")))
+
+    def _entry(self, name: str) -> dict:
+        stream = self.fs.open(self._at(f"{self.path}/log/{name}/entry.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _now(self) -> tuple[int, dict]:
+        """(number, entry) in force: ``base`` is a folder of data or null, ``batches`` (id, folder) in the order of commits."""
+        while True:
+            names = [n for n, _ in self._listed("log")]
+            if not names:
+                return -1, {"base": None, "batches": []}
+            try:
+                return int(names[-1]), self._entry(names[-1])
+            except Exception:
+                if self.fs.exists(self._at(f"{self.path}/log/{names[-1]}/entry.json")):
+                    raise
+                # cleaned away since it was listed: a later one is in force
+
+    def _names(self, kind: str) -> list[str]:
+        """What is in force: ids of batches that no base holds, or the folder of the base."""
+        entry = self._now()[1]
+        return sorted(b for b, _ in entry["batches"]) if kind == "batches" else [x for x in (entry["base"],) if x]
+
+    def _based(self, entry: dict) -> DataFrame:
+        """Ids of the batches that the base holds."""
+        schema = "batch string"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/data/{entry['base']}/ids") if entry["base"] else self.spark.createDataFrame([], schema)
+
+    def _holds(self, entry: dict, batch: str) -> bool:
+        return any(b == batch for b, _ in entry["batches"]) or not self._based(entry).where(F.col("batch") == batch).isEmpty()
 
-    def _base(self) -> str | None:
-        """The base in force, that with the highest number."""
-        held = self._names("bases")
-        return f"{self.path}/bases/base={held[-1]}" if held else None
-
-    def _based(self) -> set[str]:
-        """Batches that the base holds."""
-        base = self._base()
-        return {r.batch for r in self.spark.read.schema("batch string").parquet(f"{base}/ids").toLocalIterator()} if base else set()
+    def committed(self, batch: str) -> bool:
+        return self._holds(self._now()[1], self._checked(batch))
 
-    def _place(self, batch: str) -> str:
+    @staticmethod
+    def _checked(batch: str) -> str:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch) or batch.startswith((".", "_")):
             raise ValueError(f"not a batch id: {batch!r}")
-        return f"{self.path}/batches/batch={batch}"
-
-    def committed(self, batch: str) -> bool:
-        return self.fs.exists(self._at(self._place(batch))) or batch in self._based()
-
-    def _commit(self, half: str, place: str) -> bool:
-        """Rename into place; False if another writer came first (a rename onto a folder would move this one inside it)."""
+        return batch
+
+    def _commit(self, number: int, entry: dict) -> bool:
+        """Rename an entry onto its number; False if another writer has that number (a rename onto a folder would move this one inside it)."""
+        mine = uuid.uuid4().hex
+        half, place = f"{self.path}/unfinished/{mine}", f"{self.path}/log/{number:012d}"
+        stream = self.fs.create(self._at(f"{half}/entry.json"))
+        try:
+            stream.write(bytearray(json.dumps(entry).encode()))
+        finally:
+            stream.close()
         if not self.fs.exists(self._at(place)) and self.fs.rename(self._at(half), self._at(place)):
-            inside = self._at(f"{place}/{half.rpartition('/')[2]}")
+            inside = self._at(f"{place}/{mine}")
             if not self.fs.exists(inside):
                 return True
             self.fs.delete(inside, True)
         self.fs.delete(self._at(half), True)
         return False
 
-    def _parts(self) -> list[str]:
-        base = self._base()
-        after = sorted(set(self._names("batches")) - self._based())
-        return [*([base] if base else []), *(f"{self.path}/batches/batch={b}" for b in after)]
-
-    def _read(self, table: str, schema: str, parts: list[str]) -> DataFrame:
-        """The union of a table of several parts; each is a folder of plain or of bucketed files."""
+    def _read(self, table: str, schema: str, entry: dict) -> DataFrame:
+        """The union of a table of all that is in force; each is a folder of plain or of bucketed files."""
+        parts = [f"{self.path}/data/{p}" for p in [entry["base"], *(p for _, p in entry["batches"])] if p]
         made = self.spark.createDataFrame([], schema)
         if parts and table == "sums":
             return self.spark.read.schema(schema).parquet(*(f"{p}/{table}" for p in parts))
@@ -106,64 +139,105 @@ class Rollup:
             made = made.unionByName(self.spark.read.schema(schema).parquet(f"{p}/{table}"))
         return made
 
+    def _bucketed(self, df: DataFrame, path: str) -> None:
+        """Written by bucket, few files each: a bucket goes to a few tasks, whichever wrote its rows."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        share = F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(max(1, n // BUCKETS)))
+        df.repartition(n, "bucket", share).write.partitionBy("bucket").parquet(path)
+
+    def _refusal(self, entry: dict, taking: DataFrame, buckets: list[int]) -> list:
+        """Some of the documents that a batch would leave with less than nothing, if what is in force is that of an entry."""
+        taken = taking.select("doc_id", *KEYS, "d_docs", "d_tokens")
+        before = self._read("ledger", LEDGER, entry).where(F.col("bucket").isin(buckets)).select("doc_id", *KEYS, "d_docs", "d_tokens")
+        both = taken.withColumn("own", F.lit(1)).unionAll(before.withColumn("own", F.lit(0)))
+        left = both.groupBy("doc_id", *KEYS).agg(F.sum("d_docs").alias("docs"), F.sum("d_tokens").alias("tokens"), F.max("own").alias("own"))
+        return left.where("own = 1 and (docs < 0 or tokens < 0 or (docs = 0 and tokens <> 0))").limit(3).collect()
+
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch; False if it was committed before. Nothing half-written is ever read.
 
         Raises :class:`Refused`, and commits nothing, if a document would be left with fewer than no documents or
-        tokens of its key: a delete of what was never inserted, or a revision of more than was counted.
+        tokens of its key: a delete of what was never inserted, or a revision of more than was counted. That is looked
+        at against the very entry that the batch comes after, again whenever another writer was faster.
         """
-        place = self._place(batch)
-        if self.committed(batch):
+        self._checked(batch)
+        number, entry = self._now()
+        if self._holds(entry, batch):
             return False
-        half = f"{self.path}/unfinished/{uuid.uuid4().hex}"
-        found = deltas(changes)
-        found.select("doc_id", *KEYS, "d_docs", "d_tokens", "takes", "bucket").write.partitionBy("bucket").parquet(f"{half}/ledger")
-        own = self.spark.read.schema(LEDGER.replace(", bucket", ", takes int, bucket")).parquet(f"{half}/ledger")
+        folder = uuid.uuid4().hex
+        data = f"{self.path}/data/{folder}"
+        self._bucketed(deltas(changes).select("doc_id", *KEYS, "d_docs", "d_tokens", "takes", "bucket"), f"{data}/ledger")
+        own = self.spark.read.schema(LEDGER.replace(", bucket", ", takes int, bucket")).parquet(f"{data}/ledger")
+        own.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(f"{data}/sums")
         taking = own.where("takes = 1")
         buckets = [r.bucket for r in taking.select("bucket").distinct().collect()]  # BUCKETS at most
-        if buckets:
-            taken = taking.select("doc_id", *KEYS, "d_docs", "d_tokens")
-            before = self._read("ledger", LEDGER, self._parts()).where(F.col("bucket").isin(buckets)).select("doc_id", *KEYS, "d_docs", "d_tokens")
-            both = taken.withColumn("own", F.lit(1)).unionAll(before.withColumn("own", F.lit(0)))
-            left = both.groupBy("doc_id", *KEYS).agg(F.sum("d_docs").alias("docs"), F.sum("d_tokens").alias("tokens"), F.max("own").alias("own"))
-            wrong = left.where("own = 1 and (docs < 0 or tokens < 0 or (docs = 0 and tokens <> 0))").limit(3).collect()
-            if wrong:
-                self.fs.delete(self._at(half), True)
-                raise Refused(f"batch {batch} takes away what isn't counted, such as {wrong}")
-        own.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(f"{half}/sums")
-        return self._commit(half, place)
+        while True:
+            wrong = self._refusal(entry, taking, buckets) if buckets else []
+            if not wrong and self._commit(number + 1, {**entry, "batches": [*entry["batches"], (batch, folder)]}):
+                return True
+            if not wrong:
+                number, entry = self._now()
+            if wrong or self._holds(entry, batch):
+                self.fs.delete(self._at(data), True)
+                if wrong:
+                    raise Refused(f"batch {batch} takes away what isn't counted, such as {wrong}")
+                return False
 
     def batches(self) -> list[str]:
-        return sorted(set(self._names("batches")) | self._based())
+        entry = self._now()[1]
+        return sorted({b for b, _ in entry["batches"]} | {r.batch for r in self._based(entry).toLocalIterator()})
 
     def totals(self) -> DataFrame:
-        """``source``, ``lang``, ``tokenizer``, ``n_docs``, ``n_tokens``; keys whose documents are all gone are left out."""
-        held = self._read("sums", SUMS, self._parts())
+        """``source``, ``lang``, ``tokenizer``, ``n_docs``, ``n_tokens``; keys whose documents are all gone are left out.
+
+        They are those of now, whenever they are read before a ``clean`` that keeps less.
+        """
+        held = self._read("sums", SUMS, self._now()[1])
         return held.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> bool:
-        """One base in place of the base in force and the batches so far; False if another writer came first.
+        """One base in place of the base in force and the batches after it; False if another compaction came first.
 
-        Readers see the old parts until the rename and the new base from then on. The folders it replaces go
-        afterwards; if that is cut short they are skipped by readers and go with the next call. A batch committed
-        meanwhile isn't in the base, and stays.
+        A batch committed meanwhile isn't in the base and stays in force after it.
         """
-        parts, names = self._parts(), self.batches()
-        old_bases, held = self._names("bases"), set(self._names("batches"))
-        half = f"{self.path}/unfinished/{uuid.uuid4().hex}"
-        sums = self._read("sums", SUMS, parts).groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-        sums.write.parquet(f"{half}/sums")
-        ledger = self._read("ledger", LEDGER, parts).groupBy("doc_id", *KEYS, "bucket").agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-        ledger.where("d_docs <> 0 or d_tokens <> 0").write.partitionBy("bucket").parquet(f"{half}/ledger")
-        self.spark.createDataFrame([(b,) for b in names], "batch string").write.parquet(f"{half}/ids")
-        number = int(old_bases[-1]) + 1 if old_bases else 0
-        if not self._commit(half, f"{self.path}/bases/base={number:012d}"):
-            return False
-        for b in old_bases:
-            self.fs.delete(self._at(f"{self.path}/bases/base={b}"), True)
-        for b in held & set(names):
-            self.fs.delete(self._at(f"{self.path}/batches/batch={b}"), True)
-        return True
+        number, entry = self._now()
+        folder = uuid.uuid4().hex
+        data = f"{self.path}/data/{folder}"
+        sums = self._read("sums", SUMS, entry).groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+        sums.write.parquet(f"{data}/sums")
+        ledger = self._read("ledger", LEDGER, entry).groupBy("doc_id", *KEYS, "bucket").agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+        self._bucketed(ledger.where("d_docs <> 0 or d_tokens <> 0"), f"{data}/ledger")
+        own = self.spark.createDataFrame([(b,) for b, _ in entry["batches"]], "batch string")
+        self._based(entry).unionByName(own).write.parquet(f"{data}/ids")
+        now = entry
+        while now["base"] == entry["base"]:
+            after = now["batches"][len(entry["batches"]) :]  # batches are only ever added at the end
+            if self._commit(number + 1, {"base": folder, "batches": after}):
+                return True
+            number, now = self._now()
+        self.fs.delete(self._at(data), True)
+        return False
+
+    def clean(self, keep_seconds: float = 7 * 86_400) -> None:
+        """Remove entries and tables that were replaced, or never committed, more than ``keep_seconds`` ago.
+
+        That must be longer than any reader takes after ``totals()`` and any writer from its first table to its commit.
+        """
+        oldest = time.time() - keep_seconds
+        log = self._listed("log")
+        # an entry was in force until the next one came
+        until = [*(at for _, at in log[1:]), float("inf")]
+        kept = [n for (n, _), end in zip(log, until, strict=True) if end > oldest]
+        held = set()
+        for n in kept:
+            entry = self._entry(n)
+            held |= {entry["base"], *(p for _, p in entry["batches"])}
+        for n, _ in log:
+            if n not in kept:
+                self.fs.delete(self._at(f"{self.path}/log/{n}"), True)
+        for p, at in self._listed("data"):
+            if p not in held and at <= oldest:
+                self.fs.delete(self._at(f"{self.path}/data/{p}"), True)
 
 
 #: Tokenizer versions: blank-separated words and bytes, which SQL can state as well, and the two byte-level BPE
