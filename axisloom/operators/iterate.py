@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,27 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for loops that join their state.
+
+    A checkpoint keeps the plan's size estimate, and that of a join is the product of its sides': over rounds of joins
+    the estimate alone outgrows memory. A table has the size that it has.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/axisloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files of tables made by :func:`written` that nothing reads again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for f in df.inputFiles()[:1]:
+            path = sc._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame, DataFrame], float] | None = None, tolerance: float = 0.0, most: int = 100, every: int = 5) -> tuple[DataFrame, int]:
     """Repeat ``step`` until ``change(old, new)`` is at most ``tolerance``; tested and saved every few steps.
 
