@@ -34,11 +34,22 @@ def index_space(spark: SparkSession, *ranges: tuple[int, ...], names: str = "ijk
     return spark.range(total).select(*cols)
 
 
-def nested(df: DataFrame, name: str, lo: Column | int, hi: Column | int, inclusive: bool = False) -> DataFrame:
-    """One more level whose bounds may use outer indices; an empty inner range yields no row."""
+def bounds(df: DataFrame, index: str) -> tuple[int, int]:
+    """Half-open bounds (lo, hi) of the loop over an index column; (0, 0) over no rows or nulls alone."""
+    lo, hi = df.agg(F.min(index), F.max(index)).first()
+    return (0, 0) if lo is None else (int(lo), int(hi) + 1)
+
+
+def nested(df: DataFrame, name: str, lo: Column | int, hi: Column | int, inclusive: bool = False, step: int = 1) -> DataFrame:
+    """One more level whose bounds may use outer indices; an empty inner range yields no row.
+
+    Each outer row makes its own inner indices, so no join or shuffle is needed. Null bounds make an empty range.
+    """
+    if step <= 0:
+        raise ValueError("steps are positive")
     low, high = (F.lit(x) if isinstance(x, int) else x for x in (lo, hi))
     last = high.cast("long") - (0 if inclusive else 1)
-    return df.where(low <= last).withColumn(name, F.explode(F.sequence(low.cast("long"), last)))
+    return df.where(low <= last).withColumn(name, F.explode(F.sequence(low.cast("long"), last, F.lit(step).cast("long"))))
 
 
 def strided(df: DataFrame, index: str, lo: int, hi: int, step: int, inclusive: bool = False) -> DataFrame:

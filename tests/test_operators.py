@@ -18,6 +18,11 @@ def test_empty_and_strided_ranges(spark):
     assert rows(loops.index_space(spark, (0, 10, 4)), "i") == [(0,), (4,), (8,)]
     assert rows(loops.index_space(spark, (0, 8, 4), inclusive=True), "i") == [(0,), (4,), (8,)]
     assert loops.nested(loops.index_space(spark, (0, 3)), "j", F.col("i"), 1).count() == 1
+    assert rows(loops.nested(loops.index_space(spark, (0, 2)), "j", F.col("i"), 5, step=2), "i", "j") == [(0, 0), (0, 2), (0, 4), (1, 1), (1, 3)]
+    assert rows(loops.nested(loops.index_space(spark, (0, 1)), "j", 1, 5, inclusive=True, step=2), "j") == [(1,), (3,), (5,)]
+    assert loops.nested(loops.index_space(spark, (0, 3)), "j", 0, F.lit(None).cast("long")).count() == 0
+    assert loops.bounds(loops.index_space(spark, (4, 9)), "i") == (4, 9)
+    assert loops.bounds(loops.index_space(spark, (4, 4)), "i") == (0, 0)
     with pytest.raises(ValueError):
         loops.extent(0, 3, 0)
 
