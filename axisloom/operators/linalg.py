@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from axisloom.operators.iterate import saved
+
 TINY = 1e-16
 
 
@@ -199,3 +201,35 @@ def matmul_blocked(a: DataFrame, b: DataFrame, size: int = 256) -> DataFrame:
 
     joined = left.join(right, "bk").select("bi", "bj", "p", "x", "q", "y")
     return joined.mapInPandas(product, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def power_iteration(a: DataFrame, tolerance: float = 1e-12, most: int = 1000, every: int = 5) -> tuple[DataFrame, float, int]:
+    """(vector (i, x), eigenvalue, steps) of the largest eigenvalue in size of a square sparse matrix (i, j, v).
+
+    From ones, ``every`` products at a time; then the vector is scaled to a largest entry of 1 and its L1 change since
+    the last test is compared with ``tolerance`` times its L1 norm. Only these sums reach the driver. The eigenvalue is
+    the Rayleigh quotient. Not settling in ``most`` steps, or a vector of zeros, is an error; so are no cells.
+    """
+    a = saved(a.select("i", "j", "v"))
+    x = saved(a.select(F.explode(F.array("i", "j")).alias("i")).distinct().withColumn("x", F.lit(1.0)))
+    if x.isEmpty():
+        raise ValueError("the matrix has no cells")
+    for done in range(every, most + every, every):
+        new = x
+        for _ in range(every):
+            y = a.join(new.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+            new = y
+        new = saved(new)
+        size = new.agg(F.max(F.abs("x"))).first()[0]
+        if not size:
+            raise ValueError("the vector became zero")
+        lead = new.where(F.abs("x") == size).agg(F.max("x")).first()[0]  # its sign keeps the scaled vector from flipping
+        new = new.withColumn("x", F.col("x") / lead)
+        both = x.withColumnRenamed("x", "w").join(new, "i", "full").select(F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("w", F.lit(0.0)).alias("w"))
+        change, norm = both.agg(F.sum(F.abs(F.col("x") - F.col("w"))), F.sum(F.abs("x"))).first()
+        x = new
+        if change <= tolerance * norm:
+            y = a.join(x.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+            top, low = x.join(y, "i", "left").agg(F.sum(F.col("x") * F.coalesce("y", F.lit(0.0))), F.sum(F.col("x") * F.col("x"))).first()
+            return x, top / low, done
+    raise RuntimeError(f"the vector did not settle in {most} steps")

@@ -5,23 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Local corners of a hexahedron's six sides, in the corner order of :func:`box_mesh`. Fixed values.
-SIDES = ((0, 2, 6, 4), (1, 3, 7, 5), (0, 1, 5, 4), (2, 3, 7, 6), (0, 1, 3, 2), (4, 5, 7, 6))
+#: Local corners of a hexahedron's six sides, two for each axis: those whose step along it is 0, then those where it is 1. Made by rule.
+SIDES = tuple(tuple(c for c in range(8) if c >> axis & 1 == end) for axis in range(3) for end in (0, 1))
 
 
-def box_mesh(spark: SparkSession, n: int) -> DataFrame:
-    """(elem, lid, node) of n**3 cubes; corner lid = x + 2y + 4z of the step along each axis."""
-    m = n + 1
-    at = spark.range(n**3).select(F.col("id").alias("elem"), (F.col("id") % n).alias("x"), F.expr(f"id div {n} % {n}").alias("y"), F.expr(f"id div {n * n}").alias("z"))
-    corner = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    out = at.withColumn("lid", corner)
-    node = (F.col("x") + F.col("lid") % 2) + m * (F.col("y") + F.expr("lid div 2 % 2")) + m * m * (F.col("z") + F.expr("lid div 4"))
+def _three(n: int | float | tuple, kind: type) -> tuple:
+    return tuple(kind(x) for x in n) if isinstance(n, tuple) else (kind(n),) * 3
+
+
+def box_mesh(spark: SparkSession, n: int | tuple[int, int, int]) -> DataFrame:
+    """(elem, lid, node) of a box of ``n`` cells along each axis, or of as many as given by axis.
+
+    Corner lid = x + 2y + 4z of the step along each axis. No cells along some axis make an empty mesh.
+    """
+    nx, ny, nz = _three(n, int)
+    at = spark.range(nx * ny * nz).select(F.col("id").alias("elem"), F.expr(f"id % {max(nx, 1)}").alias("x"), F.expr(f"id div {max(nx, 1)} % {max(ny, 1)}").alias("y"), F.expr(f"id div {max(nx * ny, 1)}").alias("z"))
+    out = at.withColumn("lid", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    node = (F.col("x") + F.col("lid") % 2) + (nx + 1) * (F.col("y") + F.expr("lid div 2 % 2")) + (nx + 1) * (ny + 1) * (F.col("z") + F.expr("lid div 4"))
     return out.select("elem", "lid", node.cast("long").alias("node"))
 
 
-def box_nodes(spark: SparkSession, n: int, length: float = 1.0) -> DataFrame:
-    m, h = n + 1, length / n
-    return spark.range(m**3).select(F.col("id").alias("node"), ((F.col("id") % m) * h).alias("x"), (F.expr(f"id div {m} % {m}") * h).alias("y"), (F.expr(f"id div {m * m}") * h).alias("z"))
+def box_nodes(spark: SparkSession, n: int | tuple[int, int, int], length: float | tuple[float, float, float] = 1.0, origin: float | tuple[float, float, float] = 0.0) -> DataFrame:
+    """(node, x, y, z) of the corners of :func:`box_mesh`, from ``origin`` over ``length`` along each axis."""
+    counts, sizes, first = _three(n, int), _three(length, float), _three(origin, float)
+    if min(counts) < 1:
+        raise ValueError("each axis has a cell at least")
+    mx, my, mz = (c + 1 for c in counts)
+    steps = F.expr(f"id % {mx}"), F.expr(f"id div {mx} % {my}"), F.expr(f"id div {mx * my}")
+    at = (F.lit(o) + step * (size / c) for o, step, size, c in zip(first, steps, sizes, counts, strict=True))
+    return spark.range(mx * my * mz).select(F.col("id").alias("node"), *(c.alias(name) for c, name in zip(at, "xyz", strict=True)))
 
 
 def elements_of_nodes(incidence: DataFrame) -> DataFrame:

@@ -21,14 +21,25 @@ def set_values_sparse(spark, d):
     return ragged.set_values_sparse(buffer, lengths, "row", 7.0)
 
 
-@query("SELECT a.range - 5 AS i, b.range - 2 AS j, a.range * 20 + b.range AS v FROM range(5, 15) a, range(2, 10) b")
+def _balances(spark, d):
+    """Balances of customers, by customer and nation of whoever holds them: one row of the array for each customer."""
+    customers = table(spark, d, "customer")
+    (lo, hi), (_, nations) = loops.bounds(customers, "c_custkey"), loops.bounds(table(spark, d, "nation"), "n_nationkey")
+    cells = loops.nested(customers.select((F.col("c_custkey") - lo).cast("long").alias("i"), F.col("c_acctbal").alias("b"), "c_nationkey"), "j", 0, nations)
+    return arrays.DenseArray(cells.select("i", "j", F.when(F.col("j") == F.col("c_nationkey"), F.col("b")).otherwise(0.0).alias("v")), (hi - lo, nations))
+
+
+_BALANCES = "b AS (SELECT c_custkey - (SELECT min(c_custkey) FROM customer) AS i, n_nationkey AS j, CASE WHEN n_nationkey = c_nationkey THEN c_acctbal ELSE 0.0 END::DOUBLE AS v FROM customer CROSS JOIN nation)"
+
+
+@query(f"WITH {_BALANCES} SELECT i::BIGINT AS i, j::BIGINT - 2 AS j, v FROM b WHERE j >= 2 AND j < 10")
 def view_slice(spark, d):
-    return arrays.DenseArray.filled(spark, (30, 20), F.col("i") * 20 + F.col("j")).slice(i=(5, 15), j=(2, 10)).df
+    return _balances(spark, d).slice(j=(2, 10)).df
 
 
-@query("SELECT b.range AS i, a.range AS j, a.range * 20 + b.range AS v FROM range(30) a, range(20) b")
+@query(f"WITH {_BALANCES} SELECT j::BIGINT AS i, i::BIGINT AS j, v FROM b")
 def transpose(spark, d):
-    return arrays.DenseArray.filled(spark, (30, 20), F.col("i") * 20 + F.col("j")).transpose().df
+    return _balances(spark, d).transpose().df
 
 
 def _grid(spark, d):
@@ -113,10 +124,13 @@ def ragged_tensors(spark, d):
     return x.select("row", "pos", F.col("k").cast("long").alias("k"), "a", F.posexplode("u").alias("l", "b")).select("row", "pos", "k", F.col("l").cast("long").alias("l"), F.round(F.col("a") * F.col("b"), 4).alias("v"))
 
 
-@query("SELECT range AS i, CASE WHEN range < 5 THEN 2.0 ELSE 9.0 END::DOUBLE AS v FROM range(6)")
+@query("SELECT p_partkey::BIGINT - (SELECT min(p_partkey) FROM part) AS i, p_retailprice AS v FROM part UNION ALL SELECT count(*), 9.0 FROM part")
 def dynamic_push_pop(spark, d):
-    empty = arrays.DynamicArray(spark.range(0).select(F.col("id").alias("i"), F.lit(0.0).alias("v")), 10, 0)
-    return empty.set_values(2.0, 5).push_back(9.0, 8.0, 7.0).pop_back(2).df
+    """Prices of all parts, then three values pushed, of which the last two are popped."""
+    parts = table(spark, d, "part")
+    lo, hi = loops.bounds(parts, "p_partkey")
+    prices = parts.select((F.col("p_partkey").cast("long") - lo).alias("i"), F.col("p_retailprice").alias("v"))
+    return arrays.DynamicArray(prices, hi - lo + 10, hi - lo).push_back(9.0, 8.0, 7.0).pop_back(2).df
 
 
 # ---- sparse: quantities by supplier and part

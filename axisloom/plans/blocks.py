@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from axisloom.operators import hydro, iterate, kernels, mesh, points
 from axisloom.operators.loops import index_space
+from axisloom.plans import fields
 from axisloom.plans.base import query, table
 from axisloom.sources import vtk
 
@@ -18,10 +19,10 @@ def _shared(spark) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/axisloom-{uuid.uuid4().hex}"
 
 
-@query("WITH c AS (SELECT x.range AS x, y.range AS y, z.range AS z, l.range AS lid FROM range(3) x, range(3) y, range(3) z, range(8) l) SELECT x + 3 * y + 9 * z AS elem, lid::INTEGER AS lid, (x + lid % 2) + 4 * (y + (lid // 2) % 2) + 16 * (z + lid // 4) AS node FROM c")
+@query(f"WITH {fields.BOX} SELECT elem, lid, node FROM b")
 def vtk_roundtrip(spark, d):
-    path = _shared(spark)
-    vtk.write_mesh(mesh.box_nodes(spark, 3), mesh.box_mesh(spark, 3), path)
+    path, counts = _shared(spark), fields.counts(spark, d)
+    vtk.write_mesh(mesh.box_nodes(spark, counts), mesh.box_mesh(spark, counts), path)
     return vtk.read_incidence(spark, path).drop("file")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from axisloom.functions import scalar
-from axisloom.operators import graph, iterate, mesh, points, sparse, stencil
+from axisloom.operators import graph, iterate, linalg, loops, mesh, points, sparse, stencil
 from axisloom.operators.loops import index_space
 from axisloom.plans.base import query, table
 
@@ -16,32 +16,49 @@ def inverse_connectivity(spark, d):
     return mesh.elements_of_nodes(e).withColumn("elems", F.array_join(F.col("elems").cast("array<string>"), ","))
 
 
-# a box of 8 cubes a side: corners by the bits of lid
-_BOX = "c AS (SELECT x.range AS x, y.range AS y, z.range AS z, l.range AS lid FROM range(8) x, range(8) y, range(8) z, range(8) l), b AS (SELECT x + 8 * y + 64 * z AS elem, lid, (x + lid % 2) + 9 * (y + (lid // 2) % 2) + 81 * (z + lid // 4) AS node FROM c)"
+# a box of one cell by supplier, nation and region: corners by the bits of lid
+BOX = """n AS (SELECT (SELECT count(*) FROM supplier) AS nx, (SELECT count(*) FROM nation) AS ny, (SELECT count(*) FROM region) AS nz),
+c AS (SELECT nx, ny, x, y, unnest(range(nz)) AS z FROM (SELECT *, unnest(range(ny)) AS y FROM (SELECT *, unnest(range(nx)) AS x FROM n))),
+b AS (SELECT x + nx * y + nx * ny * z AS elem, lid, (x + (lid & 1)) + (nx + 1) * (y + (lid >> 1 & 1)) + (nx + 1) * (ny + 1) * (z + (lid >> 2)) AS node FROM c CROSS JOIN (SELECT unnest(range(8))::INTEGER AS lid))"""
 
 
-@query(f"WITH {_BOX} SELECT elem, lid::INTEGER AS lid, node FROM b")
+def counts(spark, d):
+    return tuple(table(spark, d, t).count() for t in ("supplier", "nation", "region"))
+
+
+@query(f"WITH {BOX} SELECT elem, lid, node FROM b")
 def box_mesh(spark, d):
-    return mesh.box_mesh(spark, 8)
+    return mesh.box_mesh(spark, counts(spark, d))
+
+
+@query("""
+WITH n AS (SELECT (SELECT count(*) FROM supplier) AS nx, (SELECT count(*) FROM nation) AS ny, (SELECT count(*) FROM region) AS nz)
+SELECT x + (nx + 1) * y + (nx + 1) * (ny + 1) * z AS node, round(-1 + x * 10.0::DOUBLE / nx, 9) AS x, round(2 + y * 5.0::DOUBLE / ny, 9) AS y, round(z * 2.0::DOUBLE / nz, 9) AS z
+FROM (SELECT *, unnest(range(nz + 1)) AS z FROM (SELECT *, unnest(range(ny + 1)) AS y FROM (SELECT *, unnest(range(nx + 1)) AS x FROM n)))
+""")
+def box_nodes(spark, d):
+    """Corners of a box from (-1, 2, 0) on, of lengths 10, 5 and 2."""
+    at = mesh.box_nodes(spark, counts(spark, d), (10.0, 5.0, 2.0), (-1.0, 2.0, 0.0))
+    return at.select("node", *(F.round(c, 9).alias(c) for c in "xyz"))
 
 
-_SIDES = ", ".join(f"({s}, {c})" for s, cs in enumerate(mesh.SIDES) for c in cs)
-_FACES = f"{_BOX}, s(side, lid) AS (VALUES {_SIDES}), f AS (SELECT elem, side, string_agg(node::VARCHAR, ',' ORDER BY node) AS key FROM b JOIN s USING (lid) GROUP BY 1, 2)"
+# a side's four corners agree in one bit
+_FACES = f"{BOX}, f AS (SELECT elem, string_agg(node::VARCHAR, ',' ORDER BY node) AS key FROM b CROSS JOIN range(3) a WHERE true GROUP BY elem, a.range, lid >> a.range::INTEGER & 1)"
 
 
 @query(f"WITH {_FACES} SELECT key, count(*) AS n_elems FROM f GROUP BY key")
 def shared_faces(spark, d):
-    return mesh.patches(mesh.box_mesh(spark, 8)).withColumn("key", F.array_join(F.col("key").cast("array<string>"), ","))
+    return mesh.patches(mesh.box_mesh(spark, counts(spark, d))).withColumn("key", F.array_join(F.col("key").cast("array<string>"), ","))
 
 
-@query("SELECT 1728::BIGINT AS patches, 384::BIGINT AS boundary")
+@query("SELECT (nx + 1) * ny * nz + nx * (ny + 1) * nz + nx * ny * (nz + 1) AS patches, 2 * (nx * ny + ny * nz + nx * nz) AS boundary FROM (SELECT (SELECT count(*) FROM supplier) AS nx, (SELECT count(*) FROM nation) AS ny, (SELECT count(*) FROM region) AS nz)")
 def boundary_faces(spark, d):
-    return mesh.patches(mesh.box_mesh(spark, 8)).agg(F.count("*").alias("patches"), F.count_if(F.col("n_elems") == 1).alias("boundary"))
+    return mesh.patches(mesh.box_mesh(spark, counts(spark, d))).agg(F.count("*").alias("patches"), F.count_if(F.col("n_elems") == 1).alias("boundary"))
 
 
-@query(f"WITH {_BOX} SELECT DISTINCT p.node AS a, q.node AS b FROM b p JOIN b q USING (elem) WHERE xor(p.lid, q.lid) IN (1, 2, 4)")
+@query(f"WITH {BOX} SELECT DISTINCT p.node AS a, q.node AS b FROM b p JOIN b q USING (elem) WHERE xor(p.lid, q.lid) IN (1, 2, 4)")
 def node_edges(spark, d):
-    return mesh.node_edges(mesh.box_mesh(spark, 8))
+    return mesh.node_edges(mesh.box_mesh(spark, counts(spark, d)))
 
 
 _PRICE = "p_retailprice / 100"
@@ -77,30 +94,42 @@ def reverse_position(spark, d):
     return points.reverse_positions(_near(spark, d))
 
 
-@query("SELECT range // 3 AS src, (range // 3 + range % 3 + 1) % 200 AS dst FROM range(600)")
+@query("WITH n AS (SELECT count(*) AS n FROM customer) SELECT src, (src + step) % n AS dst FROM (SELECT n, unnest(range(n)) AS src FROM n) CROSS JOIN (SELECT unnest(range(1, 4)) AS step)")
 def watts_ring(spark, d):
-    return graph.ring(spark, 200, 3)
+    return graph.ring(spark, table(spark, d, "customer").count(), 3)
+
+
+# parts and suppliers that meet in a line: parts have even numbers, suppliers odd ones
+_MET = "h AS (SELECT DISTINCT 2 * l_partkey::BIGINT AS a, 2 * l_suppkey::BIGINT + 1 AS b FROM lineitem), e AS MATERIALIZED (SELECT a AS src, b AS dst FROM h UNION ALL SELECT b, a FROM h)"
 
 
-@query("SELECT r.range AS root, n.range AS node, ceil(least(abs(r.range - n.range), 48 - abs(r.range - n.range)) / 3.0)::INTEGER AS dist FROM range(0, 48, 16) r, range(48) n")
+@query(f"WITH RECURSIVE {_MET}, w(root, node, dist) AS (SELECT min(dst), min(dst), 0 FROM e WHERE dst % 2 = 1 UNION SELECT w.root, e.dst, w.dist + 1 FROM w JOIN e ON e.src = w.node WHERE w.dist < 10) SELECT root, node, min(dist)::INTEGER AS dist FROM w GROUP BY 1, 2")
 def bfs_distance(spark, d):
-    edges = graph.undirected(graph.ring(spark, 48, 3))
-    return graph.bfs(edges, spark.range(0, 48, 16).select(F.col("id").alias("root")))
+    """Hops from the first supplier to all parts and suppliers."""
+    met = table(spark, d, "lineitem").select((2 * F.col("l_partkey").cast("long")).alias("src"), (2 * F.col("l_suppkey").cast("long") + 1).alias("dst"))
+    return graph.bfs(iterate.saved(graph.undirected(met)), met.agg(F.min("dst").alias("root")))
 
 
-# hops beyond h still to go, summed over h
-@query("SELECT round(sum(greatest(500 - 1 - 12 * range, 0)) / 500.0, 6)::DOUBLE AS average FROM range(500)")
+_NEXT = "l AS (SELECT l_orderkey, l_suppkey - (SELECT min(l_suppkey) FROM lineitem) AS s, l_linenumber FROM lineitem), h AS (SELECT DISTINCT a.s AS a, b.s AS b FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1), e AS MATERIALIZED (SELECT a AS src, b AS dst FROM h UNION SELECT b, a FROM h)"
+
+
+@query(f"WITH RECURSIVE {_NEXT}, w(root, node, dist) AS (SELECT s, s, 0 FROM (SELECT DISTINCT s FROM l) UNION SELECT w.root, e.dst, w.dist + 1 FROM w JOIN e ON e.src = w.node WHERE w.dist < 4), m AS (SELECT root, node, min(dist) AS dist FROM w GROUP BY 1, 2) SELECT round(sum(dist) / (SELECT (max(s) + 1.0) * (max(s) + 1) FROM l), 6)::DOUBLE AS average FROM m")
 def average_distance(spark, d):
-    n = 500
-    found = graph.all_pairs(spark, n, graph.undirected(graph.ring(spark, n, 6)))
-    return found.agg(F.round(F.sum("total") / float(n * n), 6).alias("average"))
+    """Mean hops between suppliers of consecutive lines of an order."""
+    lines = table(spark, d, "lineitem")
+    lo, hi = loops.bounds(lines, "l_suppkey")
+    at = lines.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") - lo).cast("long").alias("src"))
+    after = at.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("src").alias("dst"))
+    found = graph.all_pairs(spark, hi - lo, graph.undirected(at.join(after, ["l_orderkey", "l_linenumber"]).select("src", "dst")))
+    return found.agg(F.round(F.sum("total") / float((hi - lo) ** 2), 6).alias("average"))
 
 
-@query("SELECT round(sum(greatest(2000 - 1 - 12 * range, 0)) / 2000.0, 6)::DOUBLE AS average FROM range(2000)")
+# hops beyond h still to go, summed over h
+@query("WITH n AS (SELECT count(*) AS n FROM customer) SELECT round(sum(greatest(n - 1 - 12 * h, 0)) / any_value(n), 6)::DOUBLE AS average FROM (SELECT n, unnest(range(n)) AS h FROM n)")
 def average_distance_closed_form(spark, d):
-    n = 2000
-    pairs = index_space(spark, (0, n), (0, n)).select(graph.ring_distance(F.col("i"), F.col("j"), n, 6).alias("dist"))
-    return graph.average_distance(pairs, n).withColumn("average", F.round("average", 6))
+    """On a ring each node sees the same distances, so those of one node have the mean of all pairs."""
+    n = table(spark, d, "customer").count()
+    return index_space(spark, (0, n)).agg(F.round(F.sum(graph.ring_distance(F.lit(0), F.col("i"), n, 6)) / float(n), 6).alias("average"))
 
 
 @query("SELECT o_orderkey, round(coalesce(lag(o_totalprice) OVER w - 2 * o_totalprice + lead(o_totalprice) OVER w, 0), 2) AS lap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
@@ -109,42 +138,51 @@ def stencil_1d(spark, d):
     return stencil.laplacian_1d(o, "o_orderkey", "v", ["o_custkey"]).select("o_orderkey", F.round("lap", 2).alias("lap"))
 
 
-_N = 24
-_GRID = f"g AS (SELECT a.range AS i, b.range AS j, ((a.range * 31 + b.range * 17) % 101) / 100.0::DOUBLE AS v FROM range({_N}) a, range({_N}) b)"
+_GRID = """q AS (SELECT l_suppkey - (SELECT min(l_suppkey) FROM lineitem) AS i, (year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
+m AS (SELECT max(i) + 1 AS rows, max(j) + 1 AS cols FROM q),
+g AS MATERIALIZED (SELECT a.i, b.j, coalesce(v, 0) / 100.0::DOUBLE AS v FROM (SELECT unnest(range(rows)) AS i FROM m) a CROSS JOIN (SELECT unnest(range(cols)) AS j FROM m) b LEFT JOIN q ON q.i = a.i AND q.j = b.j)"""
 
 
-def _grid(spark):
-    return index_space(spark, (0, _N), (0, _N)).withColumn("v", ((F.col("i") * 31 + F.col("j") * 17) % 101) / 100.0)
+def _grid(spark, d):
+    """(cells, rows, cols): hundreds of pieces by supplier and month of shipping from January 1992 on; 0 where there are none."""
+    lines = table(spark, d, "lineitem")
+    lo, hi = loops.bounds(lines, "l_suppkey")
+    month = ((F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate") - 1).cast("long")
+    cells = lines.select((F.col("l_suppkey") - lo).cast("long").alias("i"), month.alias("j"), F.col("l_quantity").cast("double").alias("v"))
+    cols = loops.bounds(cells, "j")[1]
+    none = index_space(spark, (0, hi - lo), (0, cols)).withColumn("v", F.lit(0.0))
+    return cells.unionByName(none).groupBy("i", "j").agg((F.sum("v") / 100.0).alias("v")), hi - lo, cols
 
 
-_STEP = "(SELECT c.i, c.j, CASE WHEN c.i BETWEEN 1 AND {m} AND c.j BETWEEN 1 AND {m} THEN (n.v + s.v + e.v + w.v) / 4 ELSE c.v END AS v FROM {t} c LEFT JOIN {t} n ON n.i = c.i + 1 AND n.j = c.j LEFT JOIN {t} s ON s.i = c.i - 1 AND s.j = c.j LEFT JOIN {t} e ON e.i = c.i AND e.j = c.j + 1 LEFT JOIN {t} w ON w.i = c.i AND w.j = c.j - 1)"
+_STEP = "(SELECT c.i, c.j, CASE WHEN c.i BETWEEN 1 AND rows - 2 AND c.j BETWEEN 1 AND cols - 2 THEN (n.v + s.v + e.v + w.v) / 4 ELSE c.v END AS v FROM {t} c CROSS JOIN m LEFT JOIN {t} n ON n.i = c.i + 1 AND n.j = c.j LEFT JOIN {t} s ON s.i = c.i - 1 AND s.j = c.j LEFT JOIN {t} e ON e.i = c.i AND e.j = c.j + 1 LEFT JOIN {t} w ON w.i = c.i AND w.j = c.j - 1)"
 
 
 def _steps_sql(k: int) -> str:
     names = ["g", *(f"g{x}" for x in range(1, k + 1))]
-    ctes = ", ".join(f"{new} AS {_STEP.format(t=old, m=_N - 2)}" for old, new in zip(names, names[1:], strict=False))
+    ctes = ", ".join(f"{new} AS MATERIALIZED {_STEP.format(t=old)}" for old, new in zip(names, names[1:], strict=False))
     return f"WITH {_GRID}, {ctes} SELECT i, j, round(v, 10) AS v FROM {names[-1]}"
 
 
 @query(_steps_sql(1))
 def stencil_2d(spark, d):
-    return stencil.jacobi_step(_grid(spark), _N, _N).withColumn("v", F.round("v", 10))
+    return stencil.jacobi_step(*_grid(spark, d)).withColumn("v", F.round("v", 10))
 
 
 @query(_steps_sql(4))
 def jacobi_k_steps(spark, d):
-    state, _ = iterate.iterate(_grid(spark), lambda s: stencil.jacobi_step(s, _N, _N), most=4, every=2)
+    cells, rows, cols = _grid(spark, d)
+    state, _ = iterate.iterate(cells, lambda s: stencil.jacobi_step(s, rows, cols), most=4, every=2)
     return state.withColumn("v", F.round("v", 10))
 
 
-@query(f"WITH {_GRID} SELECT round(sum(c.v * c.v * (1 - c.v) * (1 - c.v) + 0.5 * (((n.v - s.v) / 2) ** 2 + ((e.v - w.v) / 2) ** 2)), 6) AS energy FROM g c JOIN g n ON n.i = c.i + 1 AND n.j = c.j JOIN g s ON s.i = c.i - 1 AND s.j = c.j JOIN g e ON e.i = c.i AND e.j = c.j + 1 JOIN g w ON w.i = c.i AND w.j = c.j - 1")
+@query(f"WITH {_GRID} SELECT round(sum(c.v * c.v * (1 - c.v) * (1 - c.v) + 0.5 * (((n.v - s.v) / 2) ** 2 + ((e.v - w.v) / 2) ** 2)), 4) AS energy FROM g c JOIN g n ON n.i = c.i + 1 AND n.j = c.j JOIN g s ON s.i = c.i - 1 AND s.j = c.j JOIN g e ON e.i = c.i AND e.j = c.j + 1 JOIN g w ON w.i = c.i AND w.j = c.j - 1")
 def free_energy(spark, d):
-    return stencil.free_energy(_grid(spark), _N, _N).withColumn("energy", F.round("energy", 6))
+    return stencil.free_energy(*_grid(spark, d)).withColumn("energy", F.round("energy", 4))
 
 
 @query(f"WITH {_GRID} SELECT i, j, round(4 * v * v * v - 6 * v * v + 2 * v, 8) AS v FROM g")
 def dfdc(spark, d):
-    return _grid(spark).select("i", "j", F.round(stencil.dfdc(F.col("v")), 8).alias("v"))
+    return _grid(spark, d)[0].select("i", "j", F.round(stencil.dfdc(F.col("v")), 8).alias("v"))
 
 
 @query("SELECT round(sum(l_extendedprice), 2) AS total, max(l_extendedprice) AS most, min(l_extendedprice) AS least FROM lineitem")
@@ -153,38 +191,39 @@ def field_progress(spark, d):
     return table(spark, d, "lineitem").agg(F.round(F.sum(x), 2).alias("total"), F.max(x).alias("most"), F.min(x).alias("least"))
 
 
-@query("SELECT 25::BIGINT AS i, sum(25.0)::DOUBLE AS y FROM range(least(25, 60 - 3), least(25, 60 - 3) + 3)")
+@query("SELECT a.p_partkey::BIGINT AS i, round(sum(a.p_retailprice * b.p_size), 2) AS y FROM part a JOIN part b ON b.p_partkey BETWEEN a.p_partkey - 1 AND a.p_partkey + 1 GROUP BY 1")
 def banded_row(spark, d):
-    n = 60
-    a = index_space(spark, (0, n), (0, 3)).select("i", (F.least(F.col("i"), F.lit(n - 3)) + F.col("j")).alias("j"), F.col("i").cast("double").alias("v"))
-    x = spark.range(n).select(F.col("id").alias("j"), F.lit(1.0).alias("x"))
-    return sparse.spmv(a, x).where("i = 25")
+    """A matrix of three diagonals, prices by part, times the sizes."""
+    parts = table(spark, d, "part")
+    lo, hi = loops.bounds(parts, "p_partkey")
+    band = loops.nested(parts.select(F.col("p_partkey").cast("long").alias("i"), F.col("p_retailprice").alias("v")), "j", F.greatest(F.col("i") - 1, F.lit(lo)), F.least(F.col("i") + 1, F.lit(hi - 1)), inclusive=True)
+    y = sparse.spmv(band, parts.select(F.col("p_partkey").cast("long").alias("j"), F.col("p_size").cast("double").alias("x")))
+    return y.select("i", F.round("y", 2).alias("y"))
 
 
-_TRI = "list_transform(range(100), lambda i: 3 * i * x[i + 1] + CASE WHEN i > 0 THEN (3 * i - 2) * x[i] ELSE 0 END + CASE WHEN i < 99 THEN (3 * i + 2) * x[i + 2] ELSE 0 END)"
+TRADE = "t AS (SELECT c_nationkey AS i, s_nationkey AS j, count(*)::DOUBLE AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
 
 
-@query(f"WITH RECURSIVE p(k, x) AS (SELECT 0, list_transform(range(100), lambda i: 1.0::DOUBLE) UNION ALL SELECT k + 1, list_transform(y, lambda v: v / list_max(y)) FROM (SELECT k, {_TRI} AS y FROM p WHERE k < 600)) SELECT round(list_inner_product(x, {_TRI}) / list_inner_product(x, x), 4) AS eigenvalue FROM p WHERE k = 600")
+def trade(spark, d):
+    """Lines between customers of nation i and suppliers of nation j."""
+    who = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").cast("long").alias("i"))
+    by = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("j"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
+    found = lines.join(who, F.col("l_orderkey") == F.col("o_orderkey")).join(by, F.col("l_suppkey") == F.col("s_suppkey"))
+    return found.groupBy("i", "j").agg(F.sum("n").cast("double").alias("v"))
+
+
+@query(f"""
+WITH RECURSIVE {TRADE}, ids AS (SELECT DISTINCT i FROM (SELECT i FROM t UNION ALL SELECT j FROM t)),
+o AS (SELECT i, row_number() OVER (ORDER BY i) AS r FROM ids),
+a AS MATERIALIZED (SELECT list(row ORDER BY r) AS a FROM (SELECT x.r, list(coalesce(t.v, 0) ORDER BY y.r) AS row FROM o x CROSS JOIN o y LEFT JOIN t ON t.i = x.i AND t.j = y.i GROUP BY x.r)),
+p(k, x) AS (SELECT 0, list_transform(a, lambda row: 1.0::DOUBLE) FROM a UNION ALL SELECT k + 1, list_transform(y, lambda v: v / list_max(y)) FROM (SELECT k, list_transform(a, lambda row: list_inner_product(row, x)) AS y FROM p, a WHERE k < 100))
+SELECT round(list_inner_product(x, list_transform(a, lambda row: list_inner_product(row, x))) / list_inner_product(x, x), 4) AS eigenvalue FROM p, a WHERE k = 100
+""")
 def power_iteration(spark, d):
-    """The tridiagonal matrix i + 2j of 100 rows: dominant eigenvalue as a Rayleigh quotient."""
-    n = 100
-    a = index_space(spark, (0, n), (0, n)).where("abs(i - j) <= 1").withColumn("v", (F.col("i") + 2 * F.col("j")).cast("double"))
-    a = iterate.saved(a)
-    x = spark.range(n).select(F.col("id").alias("j"), F.lit(1.0).alias("x"))
-
-    two = iterate.saved(sparse.spmm(a, a))
-    four = sparse.spmm(two, two)
-    many = iterate.saved(sparse.spmm(four, four))  # one product for eight steps
-
-    def step(x):
-        return sparse.spmv(many, x).select(F.col("i").alias("j"), F.col("y").alias("x"))
-
-    for _ in range(6):  # the squares of five products can't leave the range of doubles; then the length is set to 1
-        x, _ = iterate.iterate(x, step, most=5, every=5)
-        norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
-        x = x.withColumn("x", F.col("x") / norm)
-    y = sparse.spmv(a, x).withColumnRenamed("i", "j")
-    return x.join(y, "j").agg(F.round(F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x")), 4).alias("eigenvalue"))
+    """The largest eigenvalue of the matrix of trade between nations."""
+    _, largest, _ = linalg.power_iteration(trade(spark, d))
+    return spark.range(1).select(F.round(F.lit(largest), 4).alias("eigenvalue"))
 
 
 # ---- scalar functions and region rules

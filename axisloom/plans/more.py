@@ -7,7 +7,9 @@ import itertools
 from pyspark.sql import functions as F
 
 from axisloom.operators import arrays, graph, hydro, kernels, linalg, ragged
+from axisloom.operators.iterate import saved
 from axisloom.operators.loops import index_space
+from axisloom.plans import fields
 from axisloom.plans.base import query, table
 
 # ---- a 4 by 4 matrix for each supplier, by expressions and by blocks
@@ -117,19 +119,18 @@ def ragged_append_capacity(spark, d):
 # ---- graphs and random fields
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT range AS a, (range + s) % 24 AS b, (1 + (range * 7 + s * 3) % 5)::DOUBLE AS w FROM range(24), (VALUES (1), (2)) t(s)),
-u AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e) GROUP BY 1, 2),
+@query(f"""
+WITH RECURSIVE {fields.TRADE}, u AS (SELECT a, b, min(v) AS w FROM (SELECT i AS a, j AS b, v FROM t UNION ALL SELECT j, i, v FROM t) GROUP BY 1, 2),
+n AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS k FROM (SELECT DISTINCT a FROM u)),
 r(k, src, dst, dist) AS (
-  SELECT 0, a.range, b.range, CASE WHEN a.range = b.range THEN 0.0 ELSE coalesce(w, 1e9) END FROM range(24) a CROSS JOIN range(24) b LEFT JOIN u ON u.a = a.range AND u.b = b.range
+  SELECT 0, x.a, y.a, CASE WHEN x.a = y.a THEN 0.0 ELSE coalesce(w, 1e18) END::DOUBLE FROM n x CROSS JOIN n y LEFT JOIN u ON u.a = x.a AND u.b = y.a
   UNION ALL
-  SELECT r.k + 1, r.src, r.dst, least(r.dist, x.dist + y.dist) FROM r JOIN r x ON x.src = r.src AND x.dst = r.k JOIN r y ON y.src = r.k AND y.dst = r.dst WHERE r.k < 24
-) SELECT src, dst, dist FROM r WHERE k = 24
+  SELECT r.k + 1, r.src, r.dst, least(r.dist, x.dist + y.dist) FROM r JOIN n ON n.k = r.k JOIN r x ON x.src = r.src AND x.dst = n.a JOIN r y ON y.src = n.a AND y.dst = r.dst
+) SELECT src::BIGINT AS src, dst::BIGINT AS dst, dist FROM r WHERE k = (SELECT count(*) FROM n) AND dist < 1e18
 """)
 def weighted_distances(spark, d):
-    """Least sums of weights on a ring with two edges forward from each node."""
-    one = spark.range(24).select(F.col("id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2))).alias("s"))
-    one = one.select("src", ((F.col("src") + F.col("s")) % 24).alias("dst"), (1 + (F.col("src") * 7 + F.col("s") * 3) % 5).alias("w"))
+    """Ways between nations over the rarest trade: an edge weighs as many as there are lines of the rarer direction."""
+    one = saved(fields.trade(spark, d).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("v").alias("w")))
     return graph.distances(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), "w")
 
 

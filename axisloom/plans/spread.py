@@ -167,22 +167,24 @@ def correlation_matrix(spark, d):
 
 # ---- products and layers
 
-_MM = "WITH a AS (SELECT range // 60 AS i, range % 60 AS j, ((range * 7) % 13)::DOUBLE AS v FROM range(40 * 60)), b AS (SELECT range // 30 AS i, range % 30 AS j, ((range * 5) % 11)::DOUBLE AS v FROM range(60 * 30)) SELECT a.i, b.j, sum(a.v * b.v) AS v FROM a JOIN b ON a.j = b.i GROUP BY 1, 2"
+_MM = "WITH a AS (SELECT l_suppkey::BIGINT AS i, l_partkey AS j, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2), b AS (SELECT l_partkey AS i, l_linenumber::BIGINT AS j, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2) SELECT a.i, b.j, sum(a.v * b.v) AS v FROM a JOIN b ON a.j = b.i GROUP BY 1, 2"
 
 
-def _ab(spark):
-    cells = lambda n, w, k, m: spark.range(n * w).select(F.expr(f"id div {w}").alias("i"), (F.col("id") % w).alias("j"), ((F.col("id") * k) % m).cast("double").alias("v"))
-    return cells(40, 60, 7, 13), cells(60, 30, 5, 11)
+def _ab(spark, d):
+    """Pieces by supplier and part, and by part and number of the line."""
+    cells = lambda i, j: table(spark, d, "lineitem").groupBy(F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j")).agg(F.sum("l_quantity").cast("double").alias("v"))
+    return cells("l_suppkey", "l_partkey"), cells("l_partkey", "l_linenumber")
 
 
 @query(_MM)
 def matmul_relational(spark, d):
-    return sparse.spmm(*_ab(spark))
+    return sparse.spmm(*_ab(spark, d))
 
 
 @query(_MM)
 def matmul_blocked(spark, d):
-    return linalg.matmul_blocked(*_ab(spark), size=16)
+    """As all pieces are more than 0, the cells that the blocks fill up with zeros are those without a pair."""
+    return linalg.matmul_blocked(*_ab(spark, d), size=256).where("v <> 0")
 
 
 def _layer(spark, d, repeat):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from axisloom.operators import arrays, graph, hydro, iterate, linalg, ragged, reduce, stencil
+from axisloom.operators import arrays, graph, hydro, iterate, linalg, mesh, ragged, reduce, stencil
 from axisloom.operators.loops import index_space
 
 
@@ -85,3 +85,31 @@ def test_random_fields_follow_seed_and_place(spark):
     df = spark.range(1000).select(F.col("id").alias("i"))
     draw = lambda seed, parts=4: {x.i: x.v for x in arrays.randomize(df.repartition(parts), ["i"], seed, 2.0, 3.0).collect()}
     assert draw(1) == draw(1, 7) != draw(2) and all(2 <= v < 3 for v in draw(1).values()) and len(set(draw(1).values())) > 990
+
+
+def test_power_iteration(spark):
+    m = np.array([[2.0, 1, 0], [1, -7, 2], [0, 2, 1]])
+    cells = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(3) for j in range(3) if m[i, j]], "i long, j long, v double")
+    vector, value, _ = linalg.power_iteration(cells)
+    values, vectors = np.linalg.eigh(m)
+    at = np.abs(values).argmax()
+    x = np.array([r.x for r in sorted(vector.collect())])
+    assert abs(value - values[at]) < 1e-9
+    assert np.abs(x / np.linalg.norm(x)).round(8).tolist() == np.abs(vectors[:, at]).round(8).tolist()
+    with pytest.raises(ValueError):
+        linalg.power_iteration(cells.limit(0))
+    with pytest.raises(RuntimeError):
+        linalg.power_iteration(spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0), (1, 1, -1.0)], "i long, j long, v double"), most=20)
+
+
+def test_boxes_by_axis(spark):
+    cells = mesh.box_mesh(spark, (3, 2, 1))
+    assert cells.count() == 48
+    assert cells.agg(F.max("node")).first()[0] == 4 * 3 * 2 - 1
+    at = {r.node: (r.x, r.y, r.z) for r in mesh.box_nodes(spark, (3, 2, 1), (6.0, 1.0, 2.0), (1.0, 0.0, -1.0)).collect()}
+    assert len(at) == 24 and at[0] == (1.0, 0.0, -1.0) and at[23] == (7.0, 1.0, 1.0) and at[5] == (3.0, 0.5, -1.0)
+    first = {r.lid: at[r.node] for r in cells.where("elem = 0").collect()}
+    assert first[7] == (3.0, 0.5, 1.0)
+    assert mesh.box_mesh(spark, (3, 0, 2)).count() == 0
+    with pytest.raises(ValueError):
+        mesh.box_nodes(spark, (3, 0, 2))
