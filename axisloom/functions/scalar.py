@@ -50,3 +50,25 @@ def halfspace_cooling(spark: SparkSession, depths: int, ages: int, surface: floa
     hot = cells.withColumn("t", t)
     last = hot.where(F.col("t") >= close * mantle).groupBy("age").agg(F.min("pos").alias("last"))
     return hot.join(last, "age", "left").where(F.col("last").isNull() | (F.col("pos") <= F.col("last"))).select("age", "pos", "t")
+
+
+def split(text: Column, delimiter: str) -> Column:
+    """The pieces of a text between occurrences of a literal delimiter, empty ones included; null for null."""
+    if not delimiter:
+        raise ValueError("a delimiter has a character at least")
+    return F.split(text, "".join(f"\\x{{{ord(c):x}}}" for c in delimiter), -1)
+
+
+def extract_list(text: Column) -> Column:
+    """The numbers of a list written as ``[a, b, ...]``.
+
+    Of each piece between commas the decimal number that it begins with counts; a piece that begins with none gives 0,
+    an empty list one 0. Null for null.
+    """
+    words = split(F.translate(text, "[]", "  "), ",")
+
+    def number(word: Column) -> Column:
+        found = F.regexp_extract(word, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
+        return F.when(found == "", F.lit(0.0)).otherwise(found.cast("double"))
+
+    return F.transform(words, number)

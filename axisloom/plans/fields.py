@@ -264,3 +264,15 @@ SELECT age, pos, round(t, 5) AS t FROM t LEFT JOIN l USING (age) WHERE last IS N
 def erf_profile(spark, d):
     """Temperatures of a cooling half space: depth by age, cut where the mantle's temperature is reached."""
     return scalar.halfspace_cooling(spark, depths=40, ages=12).withColumn("t", F.round("t", 5))
+
+
+@query("SELECT o_orderkey, unnest(string_split(o_orderpriority, '-')) AS piece, generate_subscripts(string_split(o_orderpriority, '-'), 1)::INTEGER - 1 AS pos FROM orders")
+def split_texts(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.posexplode(scalar.split(F.col("o_orderpriority"), "-")).alias("pos", "piece"))
+
+
+@query("SELECT p_partkey, unnest([p_size::DOUBLE, p_retailprice, 0.0, -0.5]) AS v, unnest([0, 1, 2, 3])::INTEGER AS pos FROM part")
+def extract_lists(spark, d):
+    """Sizes and prices written as a list with a word and a number with a unit behind them, read back."""
+    text = F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(", "), F.col("p_retailprice").cast("string"), F.lit(",none, -.5mm]"))
+    return table(spark, d, "part").select("p_partkey", F.posexplode(scalar.extract_list(text)).alias("pos", "v"))

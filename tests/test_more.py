@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from axisloom.functions import scalar
 from axisloom.operators import arrays, graph, hydro, iterate, linalg, mesh, ragged, reduce, stencil
 from axisloom.operators.loops import index_space
 
@@ -113,3 +114,12 @@ def test_boxes_by_axis(spark):
     assert mesh.box_mesh(spark, (3, 0, 2)).count() == 0
     with pytest.raises(ValueError):
         mesh.box_nodes(spark, (3, 0, 2))
+
+
+def test_split_and_lists(spark):
+    df = spark.createDataFrame([("a.b..",), ("",), (None,), ("..",)], "s string")
+    assert [r[0] for r in df.select(scalar.split(F.col("s"), ".")).collect()] == [["a", "b", "", ""], [""], None, ["", "", ""]]
+    df = spark.createDataFrame([("[1, -2.5e1,x,3z]",), ("[]",), (None,), ("7",)], "s string")
+    assert [r[0] for r in df.select(scalar.extract_list(F.col("s"))).collect()] == [[1.0, -25.0, 0.0, 3.0], [0.0], None, [7.0]]
+    with pytest.raises(ValueError):
+        scalar.split(F.col("s"), "")
