@@ -91,6 +91,49 @@ def ghost_elements(incidence: DataFrame, part: str = "part", elem: str = "elem",
     return touch.select(F.col("_p").alias(part), elem).distinct()
 
 
+def ghost_nodes(incidence: DataFrame, part: str = "part", elem: str = "elem", node: str = "node") -> DataFrame:
+    """``part``, ``node``, ``owner``: nodes of a part's ghost elements that none of its own elements has.
+
+    They are received from ``owner``, the highest part that holds such an element.
+    """
+    held = incidence.select(elem, F.col(part).alias("_owner"), node).distinct()
+    met = ghost_elements(incidence, part, elem, node).join(held, elem).groupBy(part, node).agg(F.max("_owner").alias("owner"))
+    return met.join(incidence.select(part, node).distinct(), [part, node], "left_anti").select(part, node, "owner")
+
+
+def replace_local(mapped: DataFrame, writes: DataFrame) -> DataFrame:
+    """``mapped`` (part, lid, v and more) with the values of ``writes`` (part, lid, v) in place; writes to no row are lost.
+
+    Of several writes to one place the greatest value stays.
+    """
+    new = writes.groupBy("part", "lid").agg(F.max(F.struct(F.lit(1).alias("there"), "v")).alias("_new"))
+    both = mapped.join(new, ["part", "lid"], "left")
+    return both.withColumn("v", F.when(F.col("_new").isNull(), F.col("v")).otherwise(F.col("_new.v"))).select(*mapped.columns)
+
+
+def sum_into_local(mapped: DataFrame, more: DataFrame) -> DataFrame:
+    """``mapped`` (part, lid, v and more) plus all values of ``more`` (part, lid, v) at their places; those to no row are lost."""
+    sums = more.groupBy("part", "lid").agg(F.sum("v").alias("_more"))
+    both = mapped.join(sums, ["part", "lid"], "left")
+    return both.withColumn("v", F.col("v") + F.coalesce("_more", F.lit(0))).select(*mapped.columns)
+
+
+def replace_map(mapped: DataFrame, other: DataFrame, gid: str) -> DataFrame:
+    """(part, lid, gid, v): the values of ``mapped`` stay at their local places and take the global ids of ``other`` (part, lid, gid).
+
+    The two maps must have the same local places; one that only one of them has is an error.
+    """
+    both = mapped.select("part", "lid", "v", F.lit(True).alias("_a")).join(other.select("part", "lid", gid, F.lit(True).alias("_b")), ["part", "lid"], "full")
+    known = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.col(gid)).otherwise(F.raise_error(F.lit("the maps have different local places")))
+    return both.select("part", "lid", known.alias(gid), "v")
+
+
+def reduce_replicas(copies: DataFrame, key: str, part: str = "part") -> DataFrame:
+    """(part, key, v) of a vector that every part holds a copy of: each copy becomes the sum of all. Partial sums are made before the shuffle."""
+    sums = copies.groupBy(key).agg(F.sum("v").alias("_sum"))
+    return copies.select(part, key).join(sums, key).select(part, key, F.col("_sum").alias("v"))
+
+
 def balanced_parts(df: DataFrame, parts: int, *coordinates: str) -> DataFrame:
     """Repartition by coordinate ranges of near-equal counts (a geometric partition along the given order)."""
     return df.repartitionByRange(parts, *coordinates)

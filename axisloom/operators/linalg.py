@@ -62,10 +62,10 @@ def lu_decompose(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def lu_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Forward over every row, then back; NaN where the matrix has a zero row."""
+    """Forward over every row, then back, for one right side or several side by side; NaN where the matrix has a zero row."""
     lu, order, parity = lu_decompose(a)
     if parity == 0:
-        return np.full(len(b), np.nan)
+        return np.full(b.shape, np.nan)
     x = b.astype(float)[order]
     for k in range(len(x)):
         x[k] -= lu[k, :k] @ x[:k]
@@ -80,8 +80,8 @@ def lu_determinant(a: np.ndarray) -> float:
 
 
 def lu_inverse(a: np.ndarray) -> np.ndarray:
-    """Column by column of the identity; NaN where the matrix has a zero row."""
-    return np.column_stack([lu_solve(a, e) for e in np.eye(len(a))]) if len(a) else a
+    """All columns of the identity from one factorization; NaN where the matrix has a zero row."""
+    return lu_solve(a, np.eye(len(a))) if len(a) else a
 
 
 def qr_determinant(a: np.ndarray) -> float:

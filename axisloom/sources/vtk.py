@@ -1,7 +1,7 @@
 """ASCII VTK meshes (legacy format, unstructured grid): reader and writer. Tecplot point files: reader.
 
 Files are read by Spark (``wholetext``), so any store that Spark opens will do. One mesh file is one piece
-of work, as its sections are found by counting; many files spread over the cluster.
+of work here; many files spread over the cluster. ``sources.meshlines`` reads one file by many tasks.
 """
 
 from __future__ import annotations
@@ -67,18 +67,31 @@ def read_incidence(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(step, "file string, elem long, lid int, node long")
 
 
-def write_mesh(nodes: DataFrame, incidence: DataFrame, path: str, title: str = "mesh") -> None:
-    """One file of a hexahedral mesh, its lines made in parallel and put in order as it is written."""
-    n_nodes, n_elems = nodes.count(), incidence.select("elem").distinct().count()
+#: Cell type of a polygon. Fixed value.
+POLYGON = 7
+
+
+def write_mesh(nodes: DataFrame, incidence: DataFrame, path: str, title: str = "mesh", values: dict[str, DataFrame] | None = None) -> None:
+    """One file of a mesh, its lines made in parallel and put in order as it is written.
+
+    Nodes and cells are numbered from 0 on without gaps. Cells of eight corners are hexahedra, others polygons with corners by lid.
+    ``values`` are scalars of the points by name, each (node, v) with a value for every node.
+    """
+    n_nodes, (n_elems, n_corners) = nodes.count(), incidence.agg(F.count_distinct("elem"), F.count("*")).first()
     head = ["# vtk DataFile Version 2.0", title, "ASCII", "DATASET UNSTRUCTURED_GRID", f"POINTS {n_nodes} double"]
     spark = nodes.sparkSession
     line = lambda rank, rows: spark.createDataFrame([(rank, k, x) for k, x in enumerate(rows)], "part int, at long, value string")
     points = nodes.select(F.lit(1).alias("part"), F.col("node").cast("long").alias("at"), F.concat_ws(" ", "x", "y", "z").alias("value"))
-    corner = F.map_from_entries(F.collect_list(F.struct(F.col("lid").cast("int"), "node")))
-    listed = F.concat_ws(" ", F.lit("8"), *(F.element_at("c", F.lit(at)).cast("string") for at in HEX_ORDER))
-    cells = incidence.groupBy("elem").agg(corner.alias("c")).select(F.lit(3).alias("part"), F.col("elem").alias("at"), listed.alias("value"))
-    kinds = spark.range(n_elems).select(F.lit(5).alias("part"), F.col("id").alias("at"), F.lit(str(HEXAHEDRON)).alias("value"))
-    every = line(0, head).unionByName(points).unionByName(line(2, [f"CELLS {n_elems} {9 * n_elems}"])).unionByName(cells).unionByName(line(4, [f"CELL_TYPES {n_elems}"])).unionByName(kinds)
+    corners = F.array_sort(F.collect_list(F.struct(F.col("lid").cast("int").alias("lid"), "node")))["node"]
+    packed = incidence.groupBy("elem").agg(corners.alias("c"))
+    order = F.when(F.size("c") == 8, F.array(*(F.try_element_at("c", F.lit(at + 1)) for at in HEX_ORDER))).otherwise(F.col("c"))
+    cells = packed.select(F.lit(3).alias("part"), F.col("elem").cast("long").alias("at"), F.concat_ws(" ", F.size("c"), order.cast("array<string>")).alias("value"))
+    kinds = packed.select(F.lit(5).alias("part"), F.col("elem").cast("long").alias("at"), F.when(F.size("c") == 8, F.lit(str(HEXAHEDRON))).otherwise(F.lit(str(POLYGON))).alias("value"))
+    every = line(0, head).unionByName(points).unionByName(line(2, [f"CELLS {n_elems} {n_corners + n_elems}"])).unionByName(cells).unionByName(line(4, [f"CELL_TYPES {n_elems}"])).unionByName(kinds)
+    for no, (name, v) in enumerate(sorted((values or {}).items())):
+        first = [f"POINT_DATA {n_nodes}"] if no == 0 else []
+        every = every.unionByName(line(6 + 2 * no, [*first, f"SCALARS {name} double 1", "LOOKUP_TABLE default"]))
+        every = every.unionByName(v.select(F.lit(7 + 2 * no).alias("part"), F.col("node").cast("long").alias("at"), F.col("v").cast("double").cast("string").alias("value")))
     every.repartitionByRange(1, "part", "at").sortWithinPartitions("part", "at").select("value").write.mode("overwrite").text(path)
 
 
