@@ -17,7 +17,9 @@ import functools
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -427,15 +429,30 @@ def _decoded(data: np.ndarray, off: np.ndarray, model: Field) -> Iterator[tuple[
     first = np.flatnonzero(on & ~goes_on)
     rest = np.flatnonzero(~goes_on)
     after = np.append(rest, len(path))[np.searchsorted(rest, first) + 1]
+    in_text, counted, before = -1, 0, 0  # code points of a text are counted on from span to span
     for i, j in zip(first.tolist(), after.tolist(), strict=True):
         raw = data[start[i] : end[j - 1]].tobytes()
         a, b = _trimmed(raw)
         kind = (int(path[i]) - 1) // 2
         if a < b and _possible(kind, raw[a:b].decode()):
-            before = int(np.count_nonzero((data[off[text[i]] : start[i] + a] & 0xC0) != 0x80))
+            if text[i] != in_text:
+                in_text, counted, before = int(text[i]), int(off[text[i]]), 0
+            before += int(np.count_nonzero((data[counted : start[i] + a] & 0xC0) != 0x80))
+            counted = int(start[i]) + a
             yield int(text[i]), before, kind, before + len(raw[a:b].decode())
 
 
+def _apart(added: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The added spans that no base span reaches into; base spans are in the order of their starts."""
+    starts, reach = [a for a, *_ in base], list(accumulate((b for *_, b in base), max))
+
+    def free(a: int, b: int) -> bool:
+        n = bisect_left(starts, b)
+        return n == 0 or reach[n - 1] <= a
+
+    return [s for s in added if free(s[0], s[2])]
+
+
 def _spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -457,8 +474,7 @@ def _found(column: pa.Array, model: Field) -> Iterator[tuple[int, str, list, lis
             if near[d] < near[d + 1] and (asks[d] or d in more):
                 text = column[i + d].as_py()
                 base = base_spans(text)
-                # both are in order; an added span stays if no base span reaches into it
-                apart = [s for s in more.get(d, ()) if not any(s[0] < b and a < s[2] for a, _, b in base)]
+                apart = _apart(more.get(d, []), base)
                 if base or apart:
                     yield i + d, text, base, apart
 
