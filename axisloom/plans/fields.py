@@ -79,9 +79,15 @@ def bin_counts(spark, d):
 _NEAR = "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 1 AND abs(a.p_retailprice - b.p_retailprice) <= 5"
 
 
+_REACH = {"x": 1.0, "y": 5.0}
+
+
+def _sized(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+
+
 def _near(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
-    return points.box_neighbors(p, "p_partkey", {"x": 1.0, "y": 5.0})
+    return points.box_neighbors(_sized(spark, d), "p_partkey", _REACH)
 
 
 @query(_NEAR)
@@ -91,7 +97,7 @@ def box_neighbors(spark, d):
 
 @query(f"WITH n AS ({_NEAR}), p AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS pos FROM n) SELECT x.a, x.b, x.pos, y.pos AS rev FROM p x JOIN p y ON x.a = y.b AND x.b = y.a")
 def reverse_position(spark, d):
-    return points.reverse_positions(_near(spark, d))
+    return points.box_reverse_positions(_sized(spark, d), "p_partkey", _REACH)
 
 
 @query("WITH n AS (SELECT count(*) AS n FROM customer) SELECT src, (src + step) % n AS dst FROM (SELECT n, unnest(range(n)) AS src FROM n) CROSS JOIN (SELECT unnest(range(1, 4)) AS step)")
