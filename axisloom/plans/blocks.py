@@ -10,7 +10,7 @@ from axisloom.operators import hydro, iterate, kernels, mesh, points
 from axisloom.operators.loops import index_space
 from axisloom.plans import fields
 from axisloom.plans.base import query, table
-from axisloom.sources import vtk
+from axisloom.sources import meshlines, vtk
 
 
 def _shared(spark) -> str:
@@ -23,7 +23,7 @@ def _shared(spark) -> str:
 def vtk_roundtrip(spark, d):
     path, counts = _shared(spark), fields.counts(spark, d)
     vtk.write_mesh(mesh.box_nodes(spark, counts), mesh.box_mesh(spark, counts), path)
-    return vtk.read_incidence(spark, path).drop("file")
+    return meshlines.incidence(meshlines.place_lines(spark, path, parts=True)).drop("file")
 
 
 @query("SELECT 0::BIGINT AS grid, 256::BIGINT AS n, round(sum(((range * 37) % 64) / 64.0), 6) AS total FROM range(256)")

@@ -27,7 +27,7 @@ def _order_mesh(spark, d):
 def _written_mesh(spark, d):
     path, (nodes, cells) = _shared(spark), _order_mesh(spark, d)
     vtk.write_mesh(nodes, cells, path, values={"price": nodes.select("node", F.col("y").alias("v")), "twice": nodes.select("node", (2 * F.col("x")).alias("v"))})
-    return meshlines.place_lines(spark, path)
+    return meshlines.place_lines(spark, path, parts=True)
 
 
 @query(f"WITH {_CELLS} SELECT elem, slot::INTEGER AS lid, node FROM cells")

@@ -18,15 +18,18 @@ from axisloom.sources.vtk import HEX_ORDER
 COMPONENTS = {"VECTORS": 3, "NORMALS": 3}
 
 
-def place_lines(spark: SparkSession, path: str) -> DataFrame:
+def place_lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """Lines of numbers: ``file``, ``words``, ``section`` (the heading's words), ``at`` and ``row``, and ``of``.
 
     ``at`` counts the numbers before the line in its section, ``row`` the lines; ``of`` is POINT_DATA or CELL_DATA, the
     last of the two above. A line whose first word begins with a letter is a heading, but for nan, inf and for
     LOOKUP_TABLE with a name alone, which stands between a heading and its numbers. Blank lines count for nothing.
+    With ``parts`` the files of a folder are one, in the order of their names, as ``vtk.write_mesh`` leaves them.
     """
+    name = F.col("_metadata.file_path")
+    file, at = (F.regexp_replace(name, "/[^/]*$", ""), F.regexp_extract(name, "[^/]*$", 0)) if parts else (name, F.lit(""))
     raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("line"),
+        file.alias("file"), F.struct(at.alias("name"), F.col("_metadata.file_block_start").alias("at")).alias("range"), F.monotonically_increasing_id().alias("line"),
         F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("words"),
     )
     first = F.col("words")[0]
