@@ -132,3 +132,30 @@ def test_tile_distances(spark, monkeypatch, sent):
         assert all(v == int(v) for v in hops.values()) and len(hops) >= len(got)
         with pytest.raises(ValueError, match="negative"):
             tiles.all_distances(df.withColumn("w", -F.col("w") - 1), "w")
+
+
+def _apart(seed):
+    """Three graphs that aren't tied to each other: of 20, 9 and 2 nodes, and a loop."""
+    r = np.random.default_rng(seed)
+    sizes, edges, base = (20, 9, 2), [(40, 40, 3.0)], 0
+    for n in sizes:
+        edges += [(base + k, base + k + 1, 2.0) for k in range(n - 1)]
+        edges += [(base + int(a), base + int(b), float(w)) for a, b, w in zip(r.integers(0, n, 2 * n), r.integers(0, n, 2 * n), r.integers(0, 9, 2 * n), strict=True)]
+        base += n
+    return edges
+
+
+@pytest.mark.parametrize(("whole", "side", "rounds"), [(2048, 2, 0), (9, 8, 3), (0, 8, 4)])
+def test_pieces_of_a_graph_need_no_rounds_of_their_own(spark, monkeypatch, whole, side, rounds):
+    """Only nodes of pieces beyond ``WHOLE`` make tiles: three tables of crossing tiles for 20 nodes, none where all pieces are small."""
+    edges = _apart(6)
+    want = floyd(41, edges)
+    made = []
+    keep = tiles.written
+    monkeypatch.setattr(tiles, "WHOLE", whole)
+    monkeypatch.setattr(tiles, "written", lambda df: made.append(df.columns) or keep(df))
+    df = spark.createDataFrame(edges, "src long, dst long, w double")
+    got = {(x.src, x.dst): x.dist for x in tiles.all_distances(df, "w", side=side).collect()}
+    used = {a for a, *_ in edges} | {b for _, b, _ in edges}
+    assert got == {(a, b): want[a, b] for a in used for b in used if np.isfinite(want[a, b])}
+    assert made.count(["ti", "tj", "tile"]) == (2 * rounds + 1 if rounds else 0)
