@@ -42,9 +42,17 @@ def elements_of_nodes(incidence: DataFrame) -> DataFrame:
 
 
 def element_adjacency(incidence: DataFrame) -> DataFrame:
-    """``elem``, ``other``: different elements that share a node."""
-    a = incidence.select("elem", "node").distinct()
-    return a.join(a.withColumnRenamed("elem", "other"), "node").where("elem <> other").select("elem", "other").distinct()
+    """``elem``, ``other``: different elements that share a node.
+
+    Each element goes to its nodes with its nodes before that one, so two that share several are a pair at the first of
+    them alone: pairs are made last, once each, and never shuffled.
+    """
+    held = incidence.groupBy("elem").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("elem", "nodes", F.posexplode("nodes").alias("at", "node"))
+    at = held.select("node", "elem", F.slice("nodes", 1, F.col("at")).alias("before"))
+    far = at.select("node", F.col("elem").alias("other"), F.col("before").alias("others"))
+    met = at.join(far, "node").where((F.col("elem") < F.col("other")) & ~F.arrays_overlap("before", "others"))
+    both = F.array(F.struct("elem", "other"), F.struct(F.col("other").alias("elem"), F.col("elem").alias("other")))
+    return met.select(F.inline(both))
 
 
 def faces(incidence: DataFrame) -> DataFrame:
