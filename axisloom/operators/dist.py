@@ -84,11 +84,33 @@ def reverse(target: DataFrame, incoming: DataFrame, gid: str, mode: str) -> Data
     return both.select(gid, new.alias("v"))
 
 
+#: Parts that share a word, a bit each.
+WORD = 63
+
+
+def _bits(incidence: DataFrame, part: str) -> DataFrame:
+    """(part, _word, _bit): a bit in some word for every part."""
+    each = incidence.agg(F.array_sort(F.collect_set(part)).alias("_all")).select(F.posexplode("_all").alias("_k", part))
+    return each.select(part, F.expr(f"_k div {WORD}").alias("_word"), F.expr(f"shiftleft(1L, _k % {WORD})").alias("_bit"))
+
+
+def _touched(incidence: DataFrame, bits: DataFrame, part: str, elem: str, node: str) -> tuple[DataFrame, DataFrame]:
+    """(node, _word, _own): the parts that hold a node; (elem, _word, _mask): other parts that hold one of an element's nodes.
+
+    What is shuffled are words of bits, of which an aggregate keeps one for each key: pairs of elements and parts are never made.
+    """
+    mine = incidence.join(F.broadcast(bits), part).select(elem, node, F.col("_word").alias("_in"), "_bit")  # one row for each part
+    own = mine.groupBy(node, F.col("_in").alias("_word")).agg(F.bit_or("_bit").alias("_own"))
+    others = F.when(F.col("_word") == F.col("_in"), F.col("_own").bitwiseAND(F.bitwise_not("_bit"))).otherwise(F.col("_own"))
+    met = mine.join(own, node).select(elem, "_word", others.alias("_mask")).where("_mask <> 0")
+    return own, met.groupBy(elem, "_word").agg(F.bit_or("_mask").alias("_mask"))
+
+
 def ghost_elements(incidence: DataFrame, part: str = "part", elem: str = "elem", node: str = "node") -> DataFrame:
     """``part``, ``elem``: elements of other parts that touch one of a part's nodes."""
-    nodes = incidence.select(F.col(part).alias("_p"), node).distinct()
-    touch = incidence.join(nodes, node).where(F.col("_p") != F.col(part))
-    return touch.select(F.col("_p").alias(part), elem).distinct()
+    bits = _bits(incidence, part)
+    _, touched = _touched(incidence, bits, part, elem, node)
+    return touched.join(F.broadcast(bits), "_word").where("_mask & _bit <> 0").select(part, elem)
 
 
 def ghost_nodes(incidence: DataFrame, part: str = "part", elem: str = "elem", node: str = "node") -> DataFrame:
@@ -96,9 +118,14 @@ def ghost_nodes(incidence: DataFrame, part: str = "part", elem: str = "elem", no
 
     They are received from ``owner``, the highest part that holds such an element.
     """
-    held = incidence.select(elem, F.col(part).alias("_owner"), node).distinct()
-    met = ghost_elements(incidence, part, elem, node).join(held, elem).groupBy(part, node).agg(F.max("_owner").alias("owner"))
-    return met.join(incidence.select(part, node).distinct(), [part, node], "left_anti").select(part, node, "owner")
+    bits = _bits(incidence, part)
+    own, touched = _touched(incidence, bits, part, elem, node)
+    met = incidence.select(elem, node, F.col(part).alias("owner")).join(touched, elem).groupBy(node, "_word", "owner").agg(F.bit_or("_mask").alias("_mask"))
+    # a part asks the first owner, from the highest down, that has a ghost element of it there
+    higher = Window.partitionBy(node, "_word").orderBy(F.desc_nulls_last("owner")).rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("_asked", F.coalesce(F.bit_or("_mask").over(higher), F.lit(0).cast("long"))).join(own, [node, "_word"], "left")
+    new = met.withColumn("_new", F.expr("_mask & ~(_asked | coalesce(_own, 0L))")).where("_new <> 0")
+    return new.join(F.broadcast(bits), "_word").where("_new & _bit <> 0").select(part, node, "owner")
 
 
 def replace_local(mapped: DataFrame, writes: DataFrame) -> DataFrame:
