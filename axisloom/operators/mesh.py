@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 SIDES = tuple(tuple(c for c in range(8) if c >> axis & 1 == end) for axis in range(3) for end in (0, 1))
 
 
+#: Cells of a box that one task makes, with what is aggregated before a shuffle.
+MOST_CELLS = 1 << 18
+
+
 def _three(n: int | float | tuple, kind: type) -> tuple:
     return tuple(kind(x) for x in n) if isinstance(n, tuple) else (kind(n),) * 3
 
@@ -19,7 +23,9 @@ def box_mesh(spark: SparkSession, n: int | tuple[int, int, int]) -> DataFrame:
     Corner lid = x + 2y + 4z of the step along each axis. No cells along some axis make an empty mesh.
     """
     nx, ny, nz = _three(n, int)
-    at = spark.range(nx * ny * nz).select(F.col("id").alias("elem"), F.expr(f"id % {max(nx, 1)}").alias("x"), F.expr(f"id div {max(nx, 1)} % {max(ny, 1)}").alias("y"), F.expr(f"id div {max(nx * ny, 1)}").alias("z"))
+    total = nx * ny * nz
+    cells = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, -(-total // MOST_CELLS)))
+    at = cells.select(F.col("id").alias("elem"), F.expr(f"id % {max(nx, 1)}").alias("x"), F.expr(f"id div {max(nx, 1)} % {max(ny, 1)}").alias("y"), F.expr(f"id div {max(nx * ny, 1)}").alias("z"))
     out = at.withColumn("lid", F.explode(F.sequence(F.lit(0), F.lit(7))))
     node = (F.col("x") + F.col("lid") % 2) + (nx + 1) * (F.col("y") + F.expr("lid div 2 % 2")) + (nx + 1) * (ny + 1) * (F.col("z") + F.expr("lid div 4"))
     return out.select("elem", "lid", node.cast("long").alias("node"))
@@ -55,11 +61,19 @@ def element_adjacency(incidence: DataFrame) -> DataFrame:
     return met.select(F.inline(both))
 
 
+def _corners(incidence: DataFrame) -> DataFrame:
+    """``elem``, ``at``: the nodes of the eight corners, null where one is missing; a corner given twice is an error."""
+    bit = F.when(F.col("lid").between(0, 7), F.expr("shiftleft(1, cast(lid as int))"))
+    nodes = [F.max(F.when(F.col("lid") == c, F.col("node"))).alias(f"_{c}") for c in range(8)]
+    held = incidence.groupBy("elem").agg(*nodes, F.sum(bit).alias("_sum"), F.bit_or(bit).alias("_or"))
+    once = F.when(F.col("_sum") == F.col("_or"), F.array(*(f"_{c}" for c in range(8)))).otherwise(F.raise_error(F.lit("an element has a corner twice")))
+    return held.select("elem", once.alias("at"))
+
+
 def faces(incidence: DataFrame) -> DataFrame:
     """``elem``, ``side``, ``key``: every side of every hexahedron by its sorted nodes."""
-    packed = incidence.groupBy("elem").agg(F.map_from_entries(F.collect_list(F.struct("lid", "node"))).alias("at"))
-    sides = F.array(*(F.array(*(F.element_at("at", F.lit(c)) for c in s)) for s in SIDES))
-    return packed.select("elem", F.posexplode(sides).alias("side", "nodes")).select("elem", "side", F.array_sort("nodes").alias("key"))
+    sides = F.array(*(F.array(*(F.col("at")[c] for c in s)) for s in SIDES))
+    return _corners(incidence).select("elem", F.posexplode(sides).alias("side", "nodes")).select("elem", "side", F.array_sort("nodes").alias("key"))
 
 
 def patches(incidence: DataFrame) -> DataFrame:
@@ -73,6 +87,10 @@ EDGES = tuple((a, b) for a in range(8) for b in range(a + 1, 8) if (a ^ b) in (1
 
 def node_edges(incidence: DataFrame) -> DataFrame:
     """``a``, ``b``: edges of hexahedra in both directions, each once."""
-    packed = incidence.groupBy("elem").agg(F.map_from_entries(F.collect_list(F.struct("lid", "node"))).alias("at"))
-    pairs = [F.struct(F.element_at("at", F.lit(x)).alias("a"), F.element_at("at", F.lit(y)).alias("b")) for p in EDGES for x, y in (p, p[::-1])]
-    return packed.select(F.explode(F.array(*pairs)).alias("e")).select("e.a", "e.b").distinct()
+    ends = [(F.col("at")[x], F.col("at")[y]) for x, y in EDGES]
+    swap = lambda x, y: x.isNull() | (x > y)
+    pairs = [F.struct(F.when(swap(x, y), y).otherwise(x).alias("a"), F.when(swap(x, y), x).otherwise(y).alias("b")) for x, y in ends]
+    once = _corners(incidence).select(F.inline(F.array(*pairs))).distinct()
+    # the way back is made last, and there is none where both ends are one node
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return once.select(F.inline(F.when(F.col("a").eqNullSafe(F.col("b")), F.slice(ways, 1, 1)).otherwise(ways)))
