@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Keys in a block of the two-level prefix sum.
 SCAN_BLOCK = 1 << 16
+#: Components of a slot that are aggregated each on its own.
+FEW_CELLS = 16
 
 
 def prefix_sum(df: DataFrame, key: str, value: str, name: str = "start", block: int = SCAN_BLOCK) -> DataFrame:
@@ -70,14 +72,23 @@ def pack_down(elements: DataFrame, col: str = "col", pos: str = "pos", value: st
 def pack_vectors(elements: DataFrame, row: str, pos: str, dims: list[str], value: str, sizes: list[int]) -> DataFrame:
     """``row``, ``vals``: for each slot of a row its vector (one dimension) or tensor (more), flat with the last running fastest.
 
-    ``sizes`` gives the length of every dimension; a component that isn't there reads as 0, one beyond fails.
+    ``sizes`` gives the length of every dimension; a component that isn't there reads as 0, one beyond or given twice fails.
     """
     flat, total = F.lit(0).cast("long"), 1
     for d, n in zip(dims, sizes, strict=True):
         inside = F.col(d).between(0, n - 1)
         flat, total = flat * n + F.when(inside, F.col(d)).otherwise(F.raise_error(F.lit(f"{d} is beyond {n}"))), total * n
-    slot = elements.groupBy(row, pos).agg(F.map_from_entries(F.collect_list(F.struct(flat.alias("k"), F.col(value).alias("x")))).alias("m"))
-    slot = slot.withColumn("x", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))))
+    if total <= FEW_CELLS:
+        # a value for each component: these are added up by hashing, while lists would be sorted and spilled
+        placed = elements.select(row, pos, flat.alias("_k"), F.col(value).alias("_x"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_k").cast("int"))
+        cells = [F.max(F.when(F.col("_k") == k, F.col("_x"))).alias(f"_{k}") for k in range(total)]
+        slot = placed.groupBy(row, pos).agg(*cells, F.sum(bit).alias("_sum"), F.bit_or(bit).alias("_or"))
+        x = F.array(*(F.coalesce(f"_{k}", F.lit(0.0)) for k in range(total)))
+        slot = slot.withColumn("x", F.when(F.col("_sum") == F.col("_or"), x).otherwise(F.raise_error(F.lit("a component is there twice"))))
+    else:
+        slot = elements.groupBy(row, pos).agg(F.map_from_entries(F.collect_list(F.struct(flat.alias("k"), F.col(value).alias("x")))).alias("m"))
+        slot = slot.withColumn("x", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))))
     return slot.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), "x"))), lambda s: s.x).alias("vals"))
 
 
