@@ -187,18 +187,24 @@ def matmul_blocked(a: DataFrame, b: DataFrame, size: int = 256) -> DataFrame:
     left = tiles(a).select("bi", F.col("bj").alias("bk"), F.col("at").alias("p"), F.col("v").alias("x"))
     right = tiles(b).select(F.col("bi").alias("bk"), "bj", F.col("at").alias("q"), F.col("v").alias("y"))
 
-    def full(at: np.ndarray, v: np.ndarray) -> np.ndarray:
-        tile = np.zeros(size * size)
-        tile[at] = v
-        return tile.reshape(size, size)
-
     def product(batches):
         for batch in batches:
+            out = []
             for bi, bj, p, x, q, y in zip(*(batch[c] for c in ("bi", "bj", "p", "x", "q", "y")), strict=True):
-                z = full(p, x) @ full(q, y)
-                i, j = np.nonzero(z)
-                yield pd.DataFrame({"i": i + bi * size, "j": j + bj * size, "v": z[i, j]})
-
+                # rows and columns that hold a cell are all that is multiplied
+                i, row = np.unique(p // size, return_inverse=True)
+                j, col = np.unique(q % size, return_inverse=True)
+                u, w = np.zeros((len(i), size)), np.zeros((size, len(j)))
+                u[row, p % size], w[q // size, col] = x, y
+                z = u @ w
+                r, c = np.nonzero(z)
+                out.append((i[r] + bi * size, j[c] + bj * size, z[r, c]))
+            if out:
+                yield pd.DataFrame({n: np.concatenate(c) for n, c in zip("ijv", zip(*out, strict=True), strict=True)})
+
+    # dealt by number: compressed tiles look small, so they would be put together into a few long tasks
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(n, "bk"), right.repartition(n, "bk")
     joined = left.join(right, "bk").select("bi", "bj", "p", "x", "q", "y")
     return joined.mapInPandas(product, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
